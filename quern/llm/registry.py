@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from quern.llm.near_dup import op2_simhash_dedup
+from quern.llm.packing import op3_karmarkar_karp_packing
 
-QUERIES = {"op2_simhash_dedup": op2_simhash_dedup}
+QUERIES = {
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
+}
 ORACLES: dict[str, str] = {}
