@@ -153,11 +153,13 @@ class Words:
         return lead[self.end] - lead[self.start]
 
 
-def ngram_keys(word_hashes: np.ndarray, n: int) -> np.ndarray:
-    """A rolling key for each run of n words (over text borders too; the caller masks those)."""
+def ngram_keys(word_hashes: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A rolling key for the run of n words from each position of ``at`` (None: from all).
+    Runs over text borders get keys too; the caller masks those."""
     total = max(0, len(word_hashes) - n + 1)
-    key = np.zeros(total, np.uint64)
+    key = np.zeros(total if at is None else len(at), np.uint64)
     for j in range(n):
-        key = (key + word_hashes[j : j + total]) * _P1
+        key += word_hashes[j : j + total] if at is None else word_hashes[at + j]
+        key *= _P1
         key ^= key >> np.uint64(29)
     return key
