@@ -5,10 +5,12 @@ from __future__ import annotations
 from quern.llm.near_dup import op2_simhash_dedup
 from quern.llm.packing import op3_karmarkar_karp_packing
 from quern.llm.repetition import op7_repetition_coverage
+from quern.llm.secrets import op5_assignment_lexing
 
 QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
+    "op5_assignment_lexing": op5_assignment_lexing,
     "op7_repetition_coverage": op7_repetition_coverage,
 }
 ORACLES: dict[str, str] = {}
