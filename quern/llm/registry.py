@@ -6,11 +6,13 @@ from quern.llm.near_dup import op2_simhash_dedup
 from quern.llm.packing import op3_karmarkar_karp_packing
 from quern.llm.repetition import op7_repetition_coverage
 from quern.llm.secrets import op5_assignment_lexing
+from quern.llm.warc import OP10_SQL, op10_seekable_warc
 
 QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
     "op5_assignment_lexing": op5_assignment_lexing,
     "op7_repetition_coverage": op7_repetition_coverage,
+    "op10_seekable_warc": op10_seekable_warc,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_seekable_warc": OP10_SQL}
