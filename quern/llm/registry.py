@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.html_template import op8_template_deduction
 from quern.llm.near_dup import op2_simhash_dedup
 from quern.llm.packing import op3_karmarkar_karp_packing
 from quern.llm.repetition import op7_repetition_coverage
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
     "op5_assignment_lexing": op5_assignment_lexing,
     "op7_repetition_coverage": op7_repetition_coverage,
+    "op8_template_deduction": op8_template_deduction,
     "op10_seekable_warc": op10_seekable_warc,
 }
 ORACLES = {"op10_seekable_warc": OP10_SQL}
