@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.decontamination import op6_seed_and_align
 from quern.llm.html_template import op8_template_deduction
 from quern.llm.near_dup import op2_simhash_dedup
 from quern.llm.packing import op3_karmarkar_karp_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
     "op5_assignment_lexing": op5_assignment_lexing,
+    "op6_seed_and_align": op6_seed_and_align,
     "op7_repetition_coverage": op7_repetition_coverage,
     "op8_template_deduction": op8_template_deduction,
     "op10_seekable_warc": op10_seekable_warc,
