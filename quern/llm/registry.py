@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.chat import OP1_SQL, op1_snapshot_collapse
 from quern.llm.decontamination import op6_seed_and_align
 from quern.llm.html_template import op8_template_deduction
 from quern.llm.near_dup import op2_simhash_dedup
@@ -11,6 +12,7 @@ from quern.llm.secrets import op5_assignment_lexing
 from quern.llm.warc import OP10_SQL, op10_seekable_warc
 
 QUERIES = {
+    "op1_snapshot_collapse": op1_snapshot_collapse,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
     "op5_assignment_lexing": op5_assignment_lexing,
@@ -19,4 +21,4 @@ QUERIES = {
     "op8_template_deduction": op8_template_deduction,
     "op10_seekable_warc": op10_seekable_warc,
 }
-ORACLES = {"op10_seekable_warc": OP10_SQL}
+ORACLES = {"op1_snapshot_collapse": OP1_SQL, "op10_seekable_warc": OP10_SQL}
