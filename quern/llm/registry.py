@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.chat import OP1_SQL, op1_snapshot_collapse
+from quern.llm.cotraining import op4_cotraining
 from quern.llm.decontamination import op6_seed_and_align
 from quern.llm.html_template import op8_template_deduction
 from quern.llm.near_dup import op2_simhash_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_snapshot_collapse": op1_snapshot_collapse,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
+    "op4_cotraining": op4_cotraining,
     "op5_assignment_lexing": op5_assignment_lexing,
     "op6_seed_and_align": op6_seed_and_align,
     "op7_repetition_coverage": op7_repetition_coverage,
