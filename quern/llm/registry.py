@@ -6,6 +6,7 @@ from quern.llm.chat import OP1_SQL, op1_snapshot_collapse
 from quern.llm.cotraining import op4_cotraining
 from quern.llm.decontamination import op6_seed_and_align
 from quern.llm.html_template import op8_template_deduction
+from quern.llm.licenses import op9_patience_licenses
 from quern.llm.near_dup import op2_simhash_dedup
 from quern.llm.packing import op3_karmarkar_karp_packing
 from quern.llm.repetition import op7_repetition_coverage
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_seed_and_align": op6_seed_and_align,
     "op7_repetition_coverage": op7_repetition_coverage,
     "op8_template_deduction": op8_template_deduction,
+    "op9_patience_licenses": op9_patience_licenses,
     "op10_seekable_warc": op10_seekable_warc,
 }
 ORACLES = {"op1_snapshot_collapse": OP1_SQL, "op10_seekable_warc": OP10_SQL}
