@@ -166,6 +166,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: st
     Without items, or documents, there are no hits; other columns pass through.
     """
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+    docs = docs.drop(out)  # one of that name is replaced
     schema = T.StructType([*docs.schema.fields, T.StructField(out, _HITS)])
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(b) for b in _blocks(benchmark.select(F.col("item_id").cast("long"), "text"), block_bytes)]

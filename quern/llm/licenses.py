@@ -113,6 +113,7 @@ def with_licenses(docs: DataFrame, text: str = "text", out: str = "licenses", te
     empty table gives an empty result; other columns pass through.
     """
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+    docs = docs.drop(out)  # one of that name is replaced
     schema = T.StructType([*docs.schema.fields, T.StructField(out, _FOUND)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.names import fresh
 from quern.llm.vectext import Lanes, as_bytes, groups, xxh64
 from quern.scratch import materialize
 
@@ -68,7 +69,9 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "simhash") -> DataFrame:
-    """``docs`` with a bigint column ``out``; null text counts as empty."""
+    """``docs`` with a bigint column ``out`` (one of that name is replaced); null text counts
+    as empty."""
+    docs = docs.drop(out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,15 +192,14 @@ def component_of(prints: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row for each component: that with the smallest doc_id (nulls last,
     then the first as written, where doc_ids repeat)."""
-    tagged = materialize(
-        with_fingerprint(docs, text, "__simhash").withColumn("__row", F.monotonically_increasing_id()), "tagged"
-    )
-    prints = tagged.select(F.col(doc_id).alias("doc_id"), F.col("__simhash").alias("simhash"), F.col("__row").alias("row"))
+    fp, row = fresh(docs, "simhash"), fresh(docs, "row")
+    tagged = materialize(with_fingerprint(docs, text, fp).withColumn(row, F.monotonically_increasing_id()), "tagged")
+    prints = tagged.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("simhash"), F.col(row).alias("row"))
     best = prints.groupBy("simhash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
     kept = (
-        best.join(component_of(prints), "simhash").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
+        best.join(component_of(prints), "simhash").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
     )
-    return tagged.join(kept, "__row", "left_semi").select(*docs.columns)
+    return tagged.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def fingerprint_hex(fp: Column) -> Column:

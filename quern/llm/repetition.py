@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.names import fresh
 from quern.llm.vectext import Words, as_bytes, groups, ngram_keys
 
 #: Largest part of a text's word characters inside n-grams that repeat an earlier one, by n
@@ -92,20 +93,21 @@ def _at(at: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarra
     return at[found[0]], at[found[1]]
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``repetition`` of LONGS and DOUBLES.
+def measured(docs: DataFrame, text: str = "text", out: str = "repetition") -> DataFrame:
+    """``docs`` with a struct column ``out`` (one of that name is replaced) of LONGS and DOUBLES.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; lengths of words are code points,
     those of lines bytes.  A null text has no words and no lines.
     """
     kind = T.StructType([*(T.StructField(k, T.LongType()) for k in LONGS), *(T.StructField(k, T.DoubleType()) for k in DOUBLES)])
-    schema = T.StructType([*docs.schema.fields, T.StructField("repetition", kind)])
+    docs = docs.drop(out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = measure(as_bytes(batch.column(text)))
             struct = pa.StructArray.from_arrays([pa.array(v) for v in values.values()], list(values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, "repetition"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -129,7 +131,8 @@ def repetitive(r: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``repetition`` and the booleans ``base_failed`` and ``kept``.
+    """``docs`` with the struct ``repetition`` and the booleans ``base_failed`` and ``kept``
+    (columns of these names are replaced).
 
     Each row stands for itself: repeated rows and null ids are measured like others.  Null and
     empty texts fail (no words).  An empty table gives an empty result.
@@ -139,6 +142,13 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({"base_failed": base_failed(r), "kept": ~base_failed(r) & ~repetitive(r)})
 
 
+def passing(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    out = fresh(docs, "repetition")
+    r = F.col(out)
+    return measured(docs, text, out).where(~base_failed(r) & ~repetitive(r)).drop(out)
+
+
 def op7_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = measured(docs).drop("text")

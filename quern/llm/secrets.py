@@ -209,6 +209,7 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "spans", least: f
     A null or empty text has no spans.  Each row stands for itself: repeated rows and null ids
     stay.  An empty table gives an empty result; other columns pass through.
     """
+    docs = docs.drop(out)  # one of that name is replaced
     schema = T.StructType([*docs.schema.fields, T.StructField(out, _SPANS)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
