@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.differencing import partition
-from quern.llm.tokens import Encoder
+from quern.llm.tokens import shared_encoder
 from quern.llm.vectext import as_bytes
 
 CAPACITY = 2048
@@ -145,7 +145,7 @@ def pack(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(ranks, pattern), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(ranks, pattern), np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 33, capacity, windows)
         waiting = 0
         for batch in batches:

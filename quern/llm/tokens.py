@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
+from functools import lru_cache
 
-import numpy as np
 import tiktoken
 
 #: A space that always begins a token: white space on neither side.
@@ -19,11 +21,12 @@ class Encoder:
     those that the same vocabulary gives in the tokenizers library.  The pattern never joins
     what stands on both sides of a space between two characters that are not white space, and
     that space always begins the next token.  So a text's ids are those of its first piece and
-    of each later piece with its space, and pieces repeat: they are encoded once and kept, at
-    most ``keep`` of them.  Strings of special tokens inside a text are ordinary text.
+    of each later piece with its space, and pieces repeat: the first ``keep`` of them are kept
+    (frequent ones come early), others are encoded anew; after as many of these as ``keep``
+    says four times, the collection begins again.  Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, ranks: str, pattern: str, keep: int = 400_000, longest: int = 64):
+    def __init__(self, ranks: str, pattern: str, keep: int = 600_000, longest: int = 64):
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ordinary = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
@@ -40,13 +43,19 @@ class Encoder:
             return self.first.of(runs[0]) + b"".join(map(self.later.of, runs[1:]))
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(ranks: str, pattern: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(ranks, pattern)
+
+
 class _Unclean(Exception):
     """A piece with white space at an edge: the spaces beside it are not borders."""
 
 
 class _Pieces(dict):
     def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.others = encoder, before, 0
 
     def __missing__(self, raw: bytes) -> bytes:
         piece = raw.decode("utf-8", "replace")
@@ -55,9 +64,16 @@ class _Pieces(dict):
         ids = self.of(piece)
         if len(raw) <= self.encoder.longest:
             if len(self) >= self.encoder.keep:
-                self.clear()
-            self[raw] = ids
+                self.others += 1
+                if self.others > 4 * self.encoder.keep:
+                    self.others = 0
+                    self.clear()
+            else:
+                self[raw] = ids
         return ids
 
     def of(self, piece: str) -> bytes:
-        return np.array(self.encoder.ordinary(self.before + piece), "<u4").tobytes()
+        ids = array("I", self.encoder.ordinary(self.before + piece))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
