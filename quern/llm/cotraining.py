@@ -116,25 +116,31 @@ def _surest(features: DataFrame, text: Model, meta: Model, grow: int, sure: floa
 
     names = ["view", "label", "score", "doc_id", "text_view", "meta_view"]
     found = features.mapInArrow(run, "view string, label long, score double, doc_id long, text_view binary, meta_view binary")
-    found = materialize(found.groupBy("view", "label", "text_view", "meta_view").agg(F.max("score").alias("score")), "surest")
-    taken = []
-    for view in ("text", "meta"):
-        for label in (0, 1):
-            mine = found.where((F.col("view") == view) & (F.col("label") == label))
-            taken += mine.orderBy(F.desc("score"), "text_view", "meta_view").limit(grow).collect()
-    return taken
+    found = found.groupBy("view", "label", "text_view", "meta_view").agg(F.max("score").alias("score"))
+    # Surest first; equal scores in the order of a hash, so that none fills the list by chance.
+    key = F.log(1 - F.col("score") + 1e-12) + F.pmod(F.xxhash64("text_view", "meta_view"), F.lit(1 << 20)) * 1e-12
+    found = materialize(found.withColumn("order", key), "surest")
+    counts = {(r["view"], r["label"]): r["count"] for r in found.groupBy("view", "label").count().collect()}
+    return [r for (view, label), n in sorted(counts.items()) for r in _least(found.where((F.col("view") == view) & (F.col("label") == label)), "order", n, grow)]
+
+
+def _least(rows: DataFrame, order: str, count: int, most: int) -> list:
+    """The ``most`` of ``count`` rows of least ``order``.
+
+    A quantile is asked for first, so that tasks send about as many rows in all, not as many
+    each.
+    """
+    if count > 2 * most:
+        share = min(1.0, 1.5 * most / count + 2e-4)
+        rows = rows.where(F.col(order) <= rows.agg(F.percentile_approx(order, share, 10000)).first()[0])
+    return rows.orderBy(order).limit(most).collect()
 
 
 def train(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grow: int = GROW, rounds: int = ROUNDS, sure: float = SURE) -> tuple[Model, Model, float] | None:
     """Calibrated models of both views and the prior logit; None if a class has no labels."""
     votes = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("label").cast("double")).alias("y")).where("y <> 0.5")
-    rows = (
-        features.join(votes, "doc_id")
-        .withColumn("order", F.xxhash64("doc_id"))
-        .orderBy("order", "doc_id", "text_view", "meta_view")
-        .limit(max_labelled)
-        .collect()
-    )
+    labelled = features.join(votes, "doc_id").withColumn("order", F.xxhash64("doc_id", "row"))
+    rows = _least(labelled, "order", labelled.count(), max_labelled)
     y = np.array([float(r["y"] > 0.5) for r in rows])
     if len(set(y.tolist())) < 2:
         return None
@@ -172,7 +178,7 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds: int)
     count as empty, null source and lang as values of their own.  Repeated rows and null ids
     are scored like others.  An empty table gives an empty result.
     """
-    features = materialize(featured(docs), "features")
+    features = materialize(featured(docs).withColumn("row", F.monotonically_increasing_id()), "features")
     models = train(features, labels.select(F.col("doc_id").cast("long"), "label"), **bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
