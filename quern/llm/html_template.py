@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Parts into which the pages of every host are dealt to meet its template.
+SALTS = 32
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.DOTALL)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -245,7 +247,10 @@ def extract(pages: DataFrame) -> DataFrame:
     columns are ignored.
     """
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    known = rows.join(templates(rows), "host", "left").select("page_id", "url", "html", "template")
+    # A host may hold a third of all pages: its pages meet copies of its template.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)))
+    copies = templates(rows).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    known = salted.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "template")
     schema = T.StructType([*known.schema.fields[:2], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
