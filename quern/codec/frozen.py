@@ -50,7 +50,7 @@ METADATA = (
         "dir_entries": ("opt", ("seq", DIR_ENTRY)),
         "shared_files_table": ("opt", _U32S),
         "total_hardlink_size": ("opt", "u64"),
-        "dwarfs_version": ("opt", "bytes"),
+        "writer_version": ("opt", "bytes"),
         "create_timestamp": ("opt", "u64"),
         "compact_names": ("opt", STRINGS),
         "compact_symlinks": ("opt", STRINGS),

@@ -122,7 +122,8 @@ def mtree_escape(name: Column) -> Column:
 
 
 def lossy_utf8(raw: Column) -> Column:
-    return F.expr("make_valid_utf8(cast(`{}` as string))".format(raw)) if isinstance(raw, str) else F.call_function("make_valid_utf8", raw.cast("string"))
+    """Text of bytes, what isn't UTF-8 replaced."""
+    return F.call_function("make_valid_utf8", raw.cast("string"))
 
 
 def explode_range(df: DataFrame, low: Column, high: Column, out: str) -> DataFrame:

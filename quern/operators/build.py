@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import compose_mode, stored_time
+from quern.model import ImageError
 from quern.operators import scans, validate
 from quern.scratch import materialize
 
@@ -14,16 +17,23 @@ RANK = {"dir": 0, "symlink": 1, "file": 2, "blkdev": 3, "chardev": 3, "fifo": 4,
 
 
 def check(entries: DataFrame, chunks: DataFrame, block_size: int) -> None:
-    """Refuse entries that no image can hold."""
-    validate.refuse(validate.duplicate_names(entries.where(F.col("parent_seq").isNotNull()), "parent_seq", "name"), "duplicate_name", "a name occurs twice in a directory")
-    validate.refuse(chunks.where(F.col("offset") + F.col("size") > block_size), "chunk_bounds", "a chunk exceeds its block")
-    validate.refuse(entries.where((F.col("mtime") < 0) | (F.col("atime") < 0) | (F.col("ctime") < 0)), "time", "a time is before the epoch")
-    validate.refuse(entries.where((F.col("mode") < 0) | (F.col("mode") > 0o777)), "mode", "a mode has more than permission bits")
+    """Refuse entries that no image can hold; all rules are looked up in one job."""
+    named = entries.where(F.col("parent_seq").isNotNull())
     parents = entries.where("kind = 'dir'").select(F.col("seq").alias("parent_seq"))
-    validate.refuse(validate.orphans(entries.where(F.col("parent_seq").isNotNull()), parents, ["parent_seq"]), "parent", "an entry's parent is no directory")
-    linked = entries.where("kind = 'hardlink'").select("seq", F.col("link_to").alias("target"))
+    linked = entries.where("kind = 'hardlink'").select(F.col("link_to").alias("target"))
     targets = entries.where("kind not in ('dir', 'hardlink')").select(F.col("seq").alias("target"))
-    validate.refuse(validate.orphans(linked, targets, ["target"]), "hard_link", "a hard link's target is missing or a directory")
+    rules = {
+        "duplicate_name": ("a name occurs twice in a directory", validate.duplicate_names(named, "parent_seq", "name")),
+        "chunk_bounds": ("a chunk exceeds its block", chunks.where(F.col("offset") + F.col("size") > block_size)),
+        "time": ("a time is before the epoch", entries.where((F.col("mtime") < 0) | (F.col("atime") < 0) | (F.col("ctime") < 0))),
+        "mode": ("a mode has more than permission bits", entries.where((F.col("mode") < 0) | (F.col("mode") > 0o777))),
+        "parent": ("an entry's parent is no directory", validate.orphans(named, parents, ["parent_seq"])),
+        "hard_link": ("a hard link's target is missing or a directory", validate.orphans(linked, targets, ["target"])),
+    }
+    broken = [bad.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in bad.columns if c != "content"])).alias("row")) for kind, (_, bad) in rules.items()]
+    found = reduce(DataFrame.unionByName, broken).limit(1).collect()
+    if found:
+        raise ImageError(found[0]["kind"], f"{rules[found[0]['kind']][0]}: {found[0]['row']}")
 
 
 def catalogue(

@@ -74,9 +74,3 @@ def duplicate_names(entries: DataFrame, parent: str, name: str) -> DataFrame:
     """(parent, name, n) of names that a directory has more than once."""
     return entries.groupBy(parent, name).agg(F.count("*").alias("n")).where("n > 1")
 
-
-def refuse(bad: DataFrame, kind: str, message: str) -> None:
-    """Raise if ``bad`` has a row."""
-    row = bad.limit(1).collect()
-    if row:
-        raise ImageError(kind, f"{message}: {row[0].asDict()}")

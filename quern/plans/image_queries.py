@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from quern.codec import cdc, fsst, section
 from quern.functions import columns as C
-from quern.model import SECTION_TYPES
 from quern.operators import build, chunks, scans, tree, validate
 from quern.plans import virtual
 from quern.plans.registry import query, table
@@ -427,6 +426,3 @@ def a07(spark: SparkSession, d: str) -> DataFrame:
     total = _docs(spark, d).agg(F.sum(F.octet_length("text")).alias("total"))
     unique = read_table(spark, path, "blocks").agg(F.sum(F.length("data")).alias("unique"))
     return stored.crossJoin(total).crossJoin(unique).select((F.col("stored") < F.col("total")).alias("smaller"), (F.col("unique") < F.col("total")).alias("saved"))
-
-
-assert SECTION_TYPES[section.INDEX] == "SECTION_INDEX"

@@ -111,7 +111,7 @@ def metadata_value(c: dict[str, DataFrame], block_size: int, created: int | None
         "packed_chunk_table": False, "packed_directories": False, "packed_shared_files_table": False,
     }
     meta["dir_entries"] = column("dir_entries", "entry_idx", "name_index", "inode_num")
-    meta["dwarfs_version"], meta["create_timestamp"] = CREATOR, created
+    meta["writer_version"], meta["create_timestamp"] = CREATOR, created
     for table, field in (("names", "compact_names"), ("symlinks", "compact_symlinks")):
         meta[field] = packed([v.encode() for v in column(table, "pos", "value")["value"]])
     return meta

@@ -54,8 +54,8 @@ def test_load_bits(bits, values):
     "parts,golden",
     [
         ({"options": {"mtime_only": True, "time_resolution_sec": 42, "packed_chunk_table": False, "packed_directories": False, "packed_shared_files_table": False}}, "0101012a000000"),
-        ({"dwarfs_version": b"abc"}, "010900000003000000616263"),
-        ({"dwarfs_version": b"\0\0"}, "0102000000"),
+        ({"writer_version": b"abc"}, "010900000003000000616263"),
+        ({"writer_version": b"\0\0"}, "0102000000"),
         ({"chunks": {"block": [0, 0], "offset": [0, 100], "size": [42, 42]}, "symlink_table": [0, 0, 0]}, "0c0000000200000003000000000000002a000000640000002a000000"),
     ],
 )
@@ -141,7 +141,7 @@ def test_section_refusals():
     with pytest.raises(ImageError, match="checksum"):
         section.read_section(lambda o, n: hurt[o : o + n], 0, 1000)
     with pytest.raises(ImageError, match="unsupported"):
-        section.parse_header(b"DWARFS\x02\x02" + bytes(56))
+        section.parse_header(section.MAGIC + b"\x02\x02" + bytes(56))
     with pytest.raises(ImageError, match="unsupported compression"):
         section.decompress(b"", 5, 10)
     with pytest.raises(ImageError):

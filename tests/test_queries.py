@@ -3,6 +3,7 @@
 import pytest
 from oracle import compare, connect
 
+from quern.plans import image_queries, kind_queries
 from quern.plans.catalogue import ORACLES, QUERIES
 
 
@@ -11,6 +12,30 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def built_once():
+    """Images and catalogues that several queries read are built once for all of them."""
+    kept, patch = {}, pytest.MonkeyPatch()
+
+    def once(f):
+        def get(*args, **config):
+            key = (f.__module__, f.__name__, args[1:], tuple(config.items()))
+            if key not in kept:
+                kept[key] = f(*args, **config)
+            found = kept[key]
+            return dict(found) if isinstance(found, dict) else found
+
+        return get
+
+    for module, name in ((image_queries, "_catalogue"), (image_queries, "_image"), (image_queries, "_tree"), (kind_queries, "_catalogue")):
+        made = once(getattr(module, name))
+        patch.setattr(module, name, made)
+        if module is image_queries and name != "_catalogue":
+            patch.setattr(kind_queries, name, made)
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, con, name):
     df = QUERIES[name](spark, sf_dir)
