@@ -31,15 +31,17 @@ def _tables() -> np.ndarray:
 
 
 _TABLES = _tables()
+#: The bits that decide a cut; as the fingerprint is linear, they need no others.
+_LOW = (_TABLES & np.uint64(MASK)).astype(np.uint16)
 _SLICE = 1 << 20
 
 
-def fingerprints(data: bytes) -> np.ndarray:
+def fingerprints(data: bytes, tables: np.ndarray = _TABLES) -> np.ndarray:
     """The fingerprint after each byte; before 64 bytes the window is filled with zeros."""
     padded = np.frombuffer(bytes(WINDOW - 1) + data, np.uint8)
-    out = np.zeros(len(data), np.uint64)
+    out = np.zeros(len(data), tables.dtype)
     for k in range(WINDOW):
-        out ^= _TABLES[k][padded[WINDOW - 1 - k : WINDOW - 1 - k + len(data)]]
+        out ^= tables[k][padded[WINDOW - 1 - k : WINDOW - 1 - k + len(data)]]
     return out
 
 
@@ -49,8 +51,8 @@ def cuts(data: bytes) -> list[int]:
     marks: list[np.ndarray] = []
     for at in range(0, len(data), _SLICE):
         before = min(at, WINDOW - 1)
-        hashes = fingerprints(data[at - before : at + _SLICE])[before:]
-        marks.append(np.flatnonzero((hashes & np.uint64(MASK)) == MASK) + at)
+        hashes = fingerprints(data[at - before : at + _SLICE], _LOW)[before:]
+        marks.append(np.flatnonzero(hashes == MASK) + at)
     places = np.concatenate(marks) if marks else np.empty(0, np.int64)
     ends, start = [], 0
     while True:
