@@ -2,11 +2,12 @@
 
 A text's word trigrams are looked up among those of the templates.  Around the trigrams of a
 template the words are aligned with it by patience; the part of the template's words that are
-matched is its coverage.  The templates are a fixed list of a few kilobytes.
+matched is its coverage.  The templates are a fixed list of a few hundred kilobytes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,7 @@ from quern.llm.license_texts import TEXTS
 from quern.llm.patience import align
 from quern.llm.vectext import Words, as_bytes, groups, ngram_keys
 
-N, LEAST, SHORT, LEAST_SHORT = 3, 0.75, 15, 1.0
+N, LEAST, SHORT = 3, 0.75, 15
 
 
 class Found(NamedTuple):
@@ -29,6 +30,7 @@ class Found(NamedTuple):
     coverage: float
     start: int
     end: int
+    matched: int
 
 
 class Templates:
@@ -57,45 +59,96 @@ class Templates:
         at = np.flatnonzero(self.filter[keys >> np.uint64(44)])
         at = at[words.of[at] == words.of[at + N - 1]]
         low, high = np.searchsorted(self.keys, keys[at]), np.searchsorted(self.keys, keys[at], "right")
-        hits: dict[tuple[int, int], list[int]] = {}
+        hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for p, lo, hi in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
             for k in range(lo, hi):
-                hits.setdefault((int(words.of[p]), int(self.of[k])), []).append(p - int(self.place[k]))
-        for (text, template), begins in hits.items():
+                hits.setdefault((int(words.of[p]), int(self.of[k])), []).append((p - int(self.place[k]), p))
+        for (text, template), mine in hits.items():
             first, last = int(words.first[text]), int(words.first[text + 1])
-            out[text] += self._spans(template, sorted(begins), hashes, first, last, least)
+            out[text] += self._spans(template, mine, hashes, first, last, least)
         for i, found in enumerate(out):
             if found:
                 out[i][:] = best(found)
 
-    def _spans(self, template: int, begins: list[int], hashes: np.ndarray, first: int, last: int, least: float) -> Iterator[Found]:
-        """One span at most for each run of trigrams that agree on where the template begins,
-        give or take half its length."""
+    def _spans(self, template: int, hits: list[tuple[int, int]], hashes: np.ndarray, first: int, last: int, least: float) -> list[Found]:
+        """The copies of a template in a text, from (where the template would begin, place) of
+        the trigrams they share.
+
+        Each diagonal with most trigrams around is aligned in a window of its own, so copies
+        that follow one another are told apart.  Trigrams that no copy so found holds are then
+        aligned by runs that agree, give or take half a length: copies with much put in."""
         item = self.words[template]
-        slack = len(item) // 2
-        need = LEAST_SHORT if len(item) <= SHORT else least
+        size = len(item)
+        if size <= SHORT:
+            begins = {d for d, _ in hits if first <= d and d + size <= last}
+            return [self._found(template, size, d - first, d + size - first) for d in sorted(begins) if np.array_equal(hashes[d : d + size], item)]
+        need, slack = least * size, size // 2
+        if last - first < need:
+            return []
+        found: list[Found] = []
+        for d in _peaks(np.array([d for d, _ in hits], np.int64), size):
+            k = bisect_left(found, d + slack - first, key=lambda f: f.start)
+            low, high = first + found[k - 1].end if k else first, first + found[k].start if k < len(found) else last
+            for wide in (size // 16, size // 4, slack):
+                if got := self._aligned(template, hashes, max(low, d - wide), min(high, d + size + wide), first, need):
+                    found.insert(k, got)
+                    break
+        ends = np.array([first + f.end for f in found], np.int64)
         runs: list[list[int]] = []
-        for p in begins:
-            if runs and p - runs[-1][-1] <= slack:
-                runs[-1].append(p)
-            else:
-                runs.append([p])
-        for run in runs:
-            a, b = max(first, run[0] - slack), min(last, run[-1] + len(item) + slack)
-            pairs = align(hashes[a:b], item)
-            if not pairs or len(item) <= SHORT and pairs[-1][0] + 1 - pairs[0][0] > len(item):
+        before = -1
+        for d, p in sorted(hits):
+            k = int(np.searchsorted(ends, p, "right"))
+            if k < len(found) and first + found[k].start <= p:
                 continue
-            if len(pairs) >= need * len(item):
-                yield Found(self.names[template], len(pairs) / len(item), a + pairs[0][0] - first, a + pairs[-1][0] + 1 - first)
+            if runs and k == before and d - runs[-1][1] <= slack:
+                runs[-1][1] = d
+            else:
+                runs.append([d, d, k])
+            before = k
+        for low, high, k in runs:
+            a = max(first, low - slack, int(ends[k - 1]) if k else first)
+            b = min(last, high + size + slack, first + found[k].start if k < len(ends) else last)
+            if got := self._aligned(template, hashes, a, b, first, need):
+                found.append(got)
+        return found
+
+    def _aligned(self, template: int, hashes: np.ndarray, a: int, b: int, first: int, need: float) -> Found | None:
+        item = self.words[template]
+        # No more words can match than are there at all.
+        if b - a < need or np.isin(item, hashes[a:b]).sum() < need:
+            return None
+        pairs = align(hashes[a:b], item)
+        return self._found(template, len(pairs), a + pairs[0][0] - first, a + pairs[-1][0] + 1 - first) if len(pairs) >= need else None
+
+    def _found(self, template: int, matched: int, start: int, end: int) -> Found:
+        return Found(self.names[template], matched / len(self.words[template]), start, end, matched)
+
+
+def _peaks(begins: np.ndarray, size: int) -> list[int]:
+    """Of the diagonals those with most trigrams within an eighth of ``size``, best first, none
+    nearer than half of it to a better one."""
+    places, counts = np.unique(begins, return_counts=True)
+    total = np.concatenate(([0], np.cumsum(counts)))
+    near = total[np.searchsorted(places, places + size // 8, "right")] - total[np.searchsorted(places, places - size // 8)]
+    kept: list[int] = []
+    out: list[int] = []
+    for d in places[np.lexsort((places, -counts, -near))].tolist():
+        k = bisect_left(kept, d)
+        if (k == len(kept) or kept[k] - d >= size // 2) and (k == 0 or d - kept[k - 1] >= size // 2):
+            kept.insert(k, d)
+            out.append(d)
+    return out
 
 
 def best(found: list[Found]) -> list[Found]:
-    """Of overlapping spans that of the longest cover (then the best, then first by name)."""
+    """Of overlapping spans that of the longest cover (then the best, then that of
+    most words, then first by name)."""
     kept: list[Found] = []
-    for f in sorted(set(found), key=lambda f: (-f.coverage * (f.end - f.start), -f.coverage, f.license, f.start)):
-        if all(f.end <= k.start or k.end <= f.start for k in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: f.start)
+    for f in sorted(set(found), key=lambda f: (-f.coverage * (f.end - f.start), -f.coverage, -f.matched, f.license, f.start)):
+        k = bisect_left(kept, f.end, key=lambda g: g.start)
+        if k == 0 or kept[k - 1].end <= f.start:
+            kept.insert(k, f)
+    return kept
 
 
 _FOUND = T.ArrayType(
@@ -119,7 +172,7 @@ def with_licenses(docs: DataFrame, text: str = "text", out: str = "licenses", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(texts)
         for batch in batches:
-            found = [[f._asdict() for f in x] for x in templates.scan(as_bytes(batch.column(text)), least)]
+            found = [[{k: v for k, v in f._asdict().items() if k != "matched"} for f in x] for x in templates.scan(as_bytes(batch.column(text)), least)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)

@@ -447,6 +447,27 @@ def test_licenses(spark, sf_dir, texts):
         assert found[0].start >= 58 and found[0].end <= 62 + len(WORD.findall(licenses.fold(text.encode()).decode()))
 
 
+def test_repeated_licenses():
+    """Copies of a license are told apart, near ones, changed ones and notices included."""
+    templates, texts = licenses.Templates(licenses.TEXTS), {n: t for n, t in reversed(licenses.TEXTS)}
+    for name, copies, gap in [("MIT", 1, 0), ("MIT", 2, 40), ("MIT", 3, 80), ("MIT", 12, 0), ("BSD-3-Clause", 2, 5), ("BSD-2-Clause", 4, 100), ("ISC", 3, 7)]:
+        for drop in (10**6, 17):
+            words = [w for i, w in enumerate(texts[name].split()) if i % drop != drop - 1]
+            text = " ".join([*(f"w{j}" for j in range(20)), *(w for k in range(copies) for w in [*words, *(f"x{k}y{j}" for j in range(gap))])])
+            found = templates.scan([text.encode()], 0.75)[0]
+            assert [f.license for f in found] == [name] * copies and all(f.coverage > 0.9 for f in found)
+    notices = templates.scan([b"Released under the MIT License. " * 5], 0.75)[0]
+    assert [(f.license, f.start) for f in notices] == [("MIT", 5 * k) for k in range(5)]
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"])
+def test_whole_licenses(name):
+    whole = max((t for n, t in licenses.TEXTS if n == name), key=len)
+    found = licenses.Templates(licenses.TEXTS).scan([f"before {whole} between words {whole} after".encode()], 0.75)[0]
+    size = len(licenses.fold(whole.encode()).split())
+    assert [(f.license, f.coverage, f.end - f.start) for f in found] == [(name, 1.0, size)] * 2
+
+
 def test_license_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, "", 1), (None, "released UNDER the\n* mit license", 1)], "doc_id long, text string, licenses int")
     got = licenses.with_licenses(docs).collect()
