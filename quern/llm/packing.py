@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.differencing import partition
-from quern.llm.tokens import shared_encoder
+from quern.llm.tokens import added_tokens, shared_encoder
 from quern.llm.vectext import as_bytes
 
 CAPACITY = 2048
@@ -131,11 +131,12 @@ def pack(
     capacity: int = CAPACITY,
     windows: int = 64,
     end_id: int = END_ID,
+    added: tuple[tuple[str, int], ...] = (),
 ) -> DataFrame:
     """Pieces of the packed documents: doc_id, start, length, doc_tokens, sequence_id, offset
     and ids (little-endian unsigned 32-bit).
 
-    ``ranks`` and ``pattern`` are the vocabulary.  Every row of ``docs`` is a document of its
+    ``ranks``, ``pattern`` and ``added`` tokens are the vocabulary.  Every row of ``docs`` is a document of its
     own: repeated rows, and rows with a null or repeated doc_id, are packed separately.  A null
     or empty text is the single id ``end_id``.  Each id lies in exactly one piece.  Sequence
     ids are unique, not consecutive (the task's number is in the high bits); offsets in a
@@ -145,7 +146,7 @@ def pack(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = shared_encoder(ranks, pattern), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(ranks, pattern, added), np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 33, capacity, windows)
         waiting = 0
         for batch in batches:
@@ -168,5 +169,5 @@ def op3_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 from array import array
@@ -23,17 +24,26 @@ class Encoder:
     that space always begins the next token.  So a text's ids are those of its first piece and
     of each later piece with its space, and pieces repeat: the first ``keep`` of them are kept
     (frequent ones come early), others are encoded anew; after as many of these as ``keep``
-    says four times, the collection begins again.  Strings of special tokens inside a text are ordinary text.
+    says four times, the collection begins again.  A text is cut at the strings of ``added``
+    tokens (string, id), the longest of those that begin first; all other strings are ordinary text.
     """
 
-    def __init__(self, ranks: str, pattern: str, keep: int = 600_000, longest: int = 64):
+    def __init__(self, ranks: str, pattern: str, keep: int = 600_000, longest: int = 64, added: tuple[tuple[str, int], ...] = ()):
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ordinary = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.keep, self.longest = keep, longest
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
+        self.added = {a.encode(): int(i).to_bytes(4, "little") for a, i in added if a}
+        self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")")
 
     def encode(self, text: bytes) -> bytes:
+        if not any(a in text for a in self.added):
+            return self._ordinary(text)
+        parts = self.cuts.split(text)
+        return b"".join(self.added[p] if i % 2 else self._ordinary(p) for i, p in enumerate(parts))
+
+    def _ordinary(self, text: bytes) -> bytes:
         pieces = text.split(b" ")
         try:
             head = self.first[pieces[0]]
@@ -43,10 +53,20 @@ class Encoder:
             return self.first.of(runs[0]) + b"".join(map(self.later.of, runs[1:]))
 
 
+def added_tokens(vocabulary: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens (string, id) of a vocabulary in the tokenizers library's JSON."""
+    with open(vocabulary, "rb") as f:
+        found = json.load(f).get("added_tokens", [])
+    for t in found:
+        if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {t['content']!r} takes more than its own string")
+    return tuple((t["content"], t["id"]) for t in found)
+
+
 @lru_cache(maxsize=1)
-def shared_encoder(ranks: str, pattern: str) -> Encoder:
+def shared_encoder(ranks: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(ranks, pattern)
+    return Encoder(ranks, pattern, added=added)
 
 
 class _Unclean(Exception):

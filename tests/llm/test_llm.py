@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.llm import alignment, chat, cotraining, decontamination, differencing, html_template, licenses, near_dup, packing, patience, registry, repetition, secrets, vectext, warc
-from quern.llm.tokens import Encoder
+from quern.llm.tokens import Encoder, added_tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,6 +168,18 @@ def test_tokens(texts):
         assert np.frombuffer(encoder.encode(t.encode()), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    reference = Tokenizer.from_file(path)
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added_tokens(path))
+    rng = random.Random(4)
+    mixed = ["".join(rng.choice(["<|endoftext|>", "<|endof", "|>", " ", "\n", "a", "é", " b c"]) for _ in range(rng.randrange(12))) for _ in range(800)]
+    for t in [*ODD, *mixed, "a<|endoftext|>b"]:
+        assert np.frombuffer(encoder.encode(t.encode()), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids
+    rows = packing.packed(spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")).collect()
+    check_pieces(rows, {1: np.array([64, 50256, 65, 1], "<u4")})
+
+
 def test_packing_query(spark, sf_dir, texts):
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {d: np.array([*encoder.encode(t, add_special_tokens=False).ids, 1], "<u4") for d, t in texts.items()}
