@@ -2,8 +2,8 @@
 
 The lexer walks a text's assignment operators.  At each it reads the name on the left
 (an identifier, a dotted or quoted key) and the literal or reference on the right (quoted
-string, concatenation of strings, bare word), as source, JSON, YAML, INI, environment and
-command-line syntax write them.  Names bound to literals are constants; a reference on the
+string of one line or more, concatenation of strings, triple-quoted string, YAML block scalar,
+bare word), as source, JSON, YAML, INI, environment and command-line syntax write them.  Names bound to literals are constants; a reference on the
 right, or a ``${NAME}`` inside a literal, leads back to the constant it names.  A literal is
 scored by how sensitive the names that reach it are and by how random it looks.
 
@@ -29,10 +29,14 @@ _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_OPERATOR = re.compile(r"=>|:=|\?=|[:=](?![=:/])")
+_OPERATOR = re.compile(r"=>|:=|\?=|=(?![=:])|:(?![=:]|//)")
 _NAME = re.compile(r"[A-Za-z_$@][\w$.@-]*(?:\[[\"']?[\w.-]+[\"']?\])?")
 _NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$.@-[]\"'`")
 _STRING = re.compile(r"[rbuf]{0,2}(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`)")
+_TRIPLE = re.compile(r"[rbufRBUF]{0,2}(?:\"\"\"((?:[^\"\\]|\\.|\"(?!\"\"))*+)\"\"\"|\'\'\'((?:[^\'\\]|\\.|\'(?!\'\'))*+)\'\'\')", re.DOTALL)
+#: A string over lines; what follows its end tells it from a quote that was never closed.
+_LINES = re.compile(r"[rbuf]{0,2}(?:\"((?:[^\"\\]|\\.)*+)\"|'((?:[^'\\]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)(?=[ \t]*(?:[,;:)}\]#]|\r?\n|\Z))", re.DOTALL)
+_BLOCK = re.compile(r"(?:[&!]\S*[ \t]+)*[|>][-+0-9]{0,2}[ \t]*(?:#[^\n]*)?\r?\n")
 _BARE = re.compile(r"\$\{[A-Za-z_]\w*\}|[^\s\"'`,;{}()\[\]<>#]+")
 _PLUS = re.compile(r"\x20*(?:\+|\.\.?|&)\x20*")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -50,6 +54,10 @@ HARMLESS = frozenset("name id url uri path file length len type count expiry exp
 PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|changeme|example|placeholder|your[_-]|<[^>]*>|\.{3}|none|null|true|false|undefined|redacted")
 
 
+_BREAK = re.compile(r"\n|\\n")
+_SOLID = re.compile(r"\S*\d\S*")
+
+
 class Span(NamedTuple):
     kind: str
     start: int
@@ -90,6 +98,38 @@ def _name_before(text: str, at: int) -> str:
     return names[-1] if names else ""
 
 
+def _block(text: str, operator: int, at: int) -> tuple[int, int] | None:
+    """Where the content of the YAML block scalar lies whose lines begin at ``at``: those
+    indented deeper than its key."""
+    line = text.rfind("\n", 0, operator) + 1
+    key = line
+    while text[key] == " " or text.startswith("- ", key):
+        key += 1
+    first = last = None
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        content = text[at:end].lstrip(" ")
+        if content.strip():
+            begin = end - len(content)
+            if begin - at <= key - line:
+                break
+            first, last = begin if first is None else first, at + len(text[at:end].rstrip())
+        at = end + 1
+    return None if first is None else (first, last)
+
+
+def _long(text: str, operator: re.Match, at: int) -> tuple[int, int] | None:
+    """The content of a literal at ``at`` that may go over lines."""
+    if m := _TRIPLE.match(text, at):
+        return m.span(m.lastindex)
+    if operator[0] == ":" and (m := _BLOCK.match(text, at)):
+        return _block(text, operator.start(), m.end())
+    if not _STRING.match(text, at) and (m := _LINES.match(text, at)):
+        return m.span(m.lastindex)
+    return None
+
+
 def lex(text: str) -> list[Pair]:
     """Name-literal and name-reference pairs in the order of the text."""
     pairs, past = [], 0
@@ -103,7 +143,11 @@ def lex(text: str) -> list[Pair]:
         while at < len(text) and text[at] in " \t":
             at += 1
         string = _STRING.match(text, at)
-        if string:
+        if long := _long(text, m, at):
+            value = "\n".join(map(str.strip, text[slice(*long)].split("\n")))
+            pairs.append(Pair(name, value, *long, False, True))
+            past = long[0]  # what it holds may be assignments too
+        elif string:
             value, start, end = "", string.start(string.lastindex or 1), string.end()
             while string:
                 value += string[string.lastindex or 1] or ""
@@ -142,7 +186,13 @@ def randomness(value: str) -> float:
 
 def score(weight: int, value: str, quoted: bool) -> float:
     """0 to 1: names count most, then randomness and length."""
-    if weight == 0 or len(value) < 8 or PLACEHOLDER.search(value):
+    if weight == 0 or len(value) < 8:
+        return 0.0
+    lines = [x for x in _BREAK.split(value) if x and not x.startswith("-----")] if _BREAK.search(value) else [value]
+    if all(map(PLACEHOLDER.search, lines)):
+        return 0.0
+    # Prose of several lines is no secret because of a name that says little.
+    if "\n" in value and weight < 2 and "PRIVATE KEY-----" not in value and not any(_SOLID.fullmatch(x) and randomness(x) >= 3.5 for x in lines):
         return 0.0
     return min(1.0, 0.15 * weight + 0.1 * min(randomness(value), 4.5) + (0.1 if quoted else 0) + 0.01 * min(len(value), 20))
 
@@ -181,6 +231,8 @@ def literal_spans(text: str, least: float) -> list[Span]:
             continue
         # A bare word counts only if it looks like no word; a string always.
         likely = p.quoted or any(map(str.isdigit, p.value)) and randomness(p.value) >= (3.5 if p.reference else 3)
+        if found and p.end <= found[-1].end:
+            continue  # inside a literal over lines
         if likely and score(weight, p.value, p.quoted) >= least:
             found.append(Span("literal", p.start, p.end))
     return found
