@@ -32,7 +32,7 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # Element names by what they do (fixed values).
-RAW = frozenset("script style title textarea noscript template iframe svg math object select audio video canvas xmp".split())
+RAW = frozenset("script style title textarea noscript template iframe svg annotation annotation-xml object select audio video canvas xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd div section article main blockquote pre table caption thead tbody tfoot tr td th "
@@ -47,6 +47,11 @@ ASIDE_WORDS = frozenset(
     "sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter signup login share sharing social "
     "related recommended comment comments commentlist disqus respond replies reply breadcrumb breadcrumbs pagination pager widget widgets search copyright skip toolbar".split()
 )
+#: Words that a name may hold beside those and still be a name of that kind ("site-footer").
+NEUTRAL_WORDS = frozenset("site page global top bottom left right primary secondary list section area box wrapper container block bar inner outer posts links form".split())
+#: Marks that stay, however many words they hold.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
 
 
@@ -56,20 +61,43 @@ class Block(NamedTuple):
     aside: bool
 
 
+class Mark:
+    """An element marked as aside: ``wraps`` if it may turn out to be the page's wrapper."""
+
+    def __init__(self, wraps: bool, comments: bool):
+        self.wraps, self.comments, self.words, self.articles = wraps, comments, 0, 0
+
+
+@lru_cache(maxsize=4096)
+def _marks(name: str) -> bool:
+    """Whether a class name, id or role as a whole names what is not the article."""
+    words = {w.lower() for w in _WORD.findall(name)} if name else set()
+    return not words.isdisjoint(ASIDE_WORDS) and words <= ASIDE_WORDS | NEUTRAL_WORDS
+
+
 def blocks(page: str) -> tuple[list[Block], Counter]:
-    """The text blocks of a page in order, and how often each token (path) occurs."""
-    found: list[Block] = []
+    """The text blocks of a page in order, and how often each token (path) occurs.
+
+    A marked element is no aside if it holds all of the page's article and main elements, or,
+    where there are none, most of its words."""
+    found: list[tuple[str, str, tuple[Mark, ...]]] = []
     tokens: Counter = Counter()
-    # (tag, path, aside, in article); inline elements are not kept
-    stack = [("", "", False, False)]
+    # (tag, path, marks, in article); inline elements are not kept
+    stack: list[tuple[str, str, tuple[Mark, ...], bool]] = [("", "", (), False)]
+    articles = total = 0
     parts: list[str] = []
     at, end = 0, len(page)
 
     def flush() -> None:
+        nonlocal total
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append(Block(stack[-1][1], text, stack[-1][2]))
+                n = text.count(" ") + 1
+                total += n
+                for mark in stack[-1][2]:
+                    mark.words += n
+                found.append((stack[-1][1], text, stack[-1][2]))
             parts.clear()
 
     while at < end:
@@ -106,19 +134,30 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
             stack.pop()
         if tag in VOID:
             continue
-        _, path, aside, inside = stack[-1]
+        _, path, marks, inside = stack[-1]
         names = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(m[3])} if m[3] else {}
         words = {w.lower() for v in names.values() for w in _WORD.findall(v)}
+        if tag in HEADINGS and names.pop("id", None):  # an anchor's name
+            words = {w.lower() for v in names.values() for w in _WORD.findall(v)}
         article = tag in ("article", "main") or names.get("role") == "main"
+        if article:
+            articles += 1
+            for mark in marks:
+                mark.articles += 1
+        asides = [v for k, vs in names.items() for v in (vs.split() if k != "id" else [vs]) if _marks(v) and not (inside and v.lower() == "header")]  # its own header
+        named = bool(asides) and not article and tag not in ("html", "body")
         if inside:
-            words.discard("header")  # the article's own
-        marked = tag in ASIDE_TAGS or tag == "header" and not inside or not article and tag not in ("html", "body") and not words.isdisjoint(ASIDE_WORDS)
+            words.discard("header")
+        if tag in ASIDE_TAGS or tag == "header" and not inside or named:
+            comments = any(w.lower() in COMMENT_WORDS for v in asides for w in _WORD.findall(v))
+            marks = (*marks, Mark(tag in ("form", "fieldset", "dialog") or tag not in ASIDE_TAGS and tag != "header", comments))
         label = tag + "".join(sorted(f".{w}" for w in words if not w.isdigit()))
         path = f"{path}>{label}"
         tokens[path] += 1
-        stack.append((tag, path, aside or marked, inside or article))
+        stack.append((tag, path, marks, inside or article))
     flush()
-    return found, tokens
+    dropped = lambda m: not m.wraps or (m.articles < articles if articles else m.comments or 2 * m.words <= total)
+    return [Block(path, text, any(map(dropped, marks))) for path, text, marks in found], tokens
 
 
 def deduce(tokens: list[dict], pages: int) -> str:
@@ -177,8 +216,7 @@ _TOKENS = T.StructType(
     [
         T.StructField("host", T.StringType()),
         T.StructField("path", T.StringType()),
-        *(T.StructField(k, T.LongType()) for k in ("pages", "times", "vec_a", "vec_b", "words", "low", "high")),
-        T.StructField("aside", T.BooleanType()),
+        *(T.StructField(k, T.LongType()) for k in ("pages", "times", "vec_a", "vec_b", "words", "low", "high", "asides")),
     ]
 )
 
@@ -198,17 +236,17 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 mine = texts.get(path, [])
                 look = xxhash.xxh64_intdigest(" ".join(mine)) >> 1
                 vector = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed=key)
-                row = sums.setdefault((name, path), [0, 0, 0, 0, 0, look, look, False])
+                row = sums.setdefault((name, path), [0, 0, 0, 0, 0, look, look, 0])
                 row[0] += 1
                 row[1] += n
                 row[2] += vector >> 33
                 row[3] += vector & 0x7FFFFFFF
                 row[4] += sum(t.count(" ") + 1 for t in mine)
                 row[5], row[6] = min(row[5], look), max(row[6], look)
-                row[7] |= path in marked
+                row[7] += path in marked
         if sums:
             columns = list(zip(*((*k, *v) for k, v in sums.items()), strict=True))
-            kinds = [pa.string(), pa.string(), *[pa.int64()] * 7, pa.bool_()]
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * 8]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _TOKENS.names)
 
 
@@ -222,7 +260,7 @@ def templates(pages: DataFrame) -> DataFrame:
         pages.select("host", "html")
         .mapInArrow(_count_tokens, _TOKENS)
         .groupBy("host", "path")
-        .agg(*(F.sum(k).alias(k) for k in ("pages", "times", "vec_a", "vec_b", "words")), F.min("low").alias("low"), F.max("high").alias("high"), F.max("aside").alias("aside"))
+        .agg(*(F.sum(k).alias(k) for k in ("pages", "times", "vec_a", "vec_b", "words")), F.min("low").alias("low"), F.max("high").alias("high"), (2 * F.sum("asides") > F.sum("pages")).alias("aside"))
     )
     totals = summed.where("path = ''").select("host", F.col("pages").alias("n"))
     often = summed.where("path <> ''").join(totals, "host").where("2 * pages >= n")

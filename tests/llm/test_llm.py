@@ -448,6 +448,25 @@ def test_page_parts(spark, tag):
         assert r["text"] == f"Title {n}\n\nFirst & {n} <b>\n\nSecond line goes on bold\n\none\n\ntwo"
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div", "div class=page"])
+@pytest.mark.parametrize("wrapper", ["div id=page class='has-sidebar'", "div class='no-sidebar'", "div class=header-fixed", "form id=aspnetForm", "div class=sidebar", "div class='wide sidebar-left'"])
+def test_wrappers_are_no_asides(tag, wrapper):
+    page = (
+        f"<body><{wrapper}><nav><p>Home</p></nav><{tag}><h2 id='related-work'>Related</h2><p>It is long enough <math><mi>x</mi><annotation>\\x</annotation></math> to be most</p>"
+        f"<h3 id='comments'>On comments</h3><section id='notice-period'><p>Three months notice of it</p></section><h2 id=search-algorithms>Search</h2>"
+        f"<div class='share-links'><p>Share</p></div><form><p>Mail</p></form></{tag.split()[0]}><div class='site-footer'><p>Foot</p></div><div class='comment-list'><p>No</p></div></{wrapper.split()[0]}></body>"
+    )
+    found, _ = html_template.blocks(page)
+    assert [b.text for b in found if not b.aside] == ["Related", "It is long enough x to be most", "On comments", "Three months notice of it", "Search"]
+
+
+def test_asides_stay():
+    page = "<body><article><p>The text</p></article><section class=related><article><p>Another card</p></article></section><div id=comments><p>" + "word " * 50 + "</p></div>"
+    assert [b.text for b in html_template.blocks(page)[0] if not b.aside] == ["The text"]
+    page = "<body><div><p>The text</p></div><div id=comments><p>" + "word " * 50 + "</p></div><nav>" + "link " * 50 + "</nav>"
+    assert [b.text for b in html_template.blocks(page)[0] if not b.aside] == ["The text"]
+
+
 def test_page_edges(spark):
     rows = spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://a/", ""), (2, "http://a/", "plain words"), (3, "u", "<p>a<p>b<"), (4, "u", "<script>never closed <p>x</p>"), (5, "u", "<!-- x <p>no</p>")], "page_id long, url string, html string")
     got = sorted(((r["page_id"] or 0), r["text"]) for r in html_template.extract(rows).collect())
