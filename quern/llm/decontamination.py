@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare pairs of words as seeds, then Smith-Waterman alignment.
 
-Every word n-gram of the whole corpus is looked up among the seeds of the test items: their
-n-grams that hold a word rare among the items.  Where enough different seeds of one item meet
-in a stretch of a document, the item's words are aligned with that stretch, so copies with
-words changed, added or left out are scored too.
+Every pair of near words of the whole corpus is looked up among the seeds of the test items.
+Where as many different seeds of one item meet in a stretch of a document as any alignment of
+the wanted score must have, the item's words are aligned with that stretch, so copies with
+words changed, added or left out are scored too, and none that scores enough is passed over.
 
 The test set is the stated query set: it is read in blocks of at most ``block_bytes`` of text,
 each of which is broadcast (so bounded by that parameter) and compared with all documents.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.alignment import smith_waterman
-from quern.llm.vectext import Words, as_bytes, groups, ngram_keys
+from quern.llm.vectext import Words, as_bytes, groups
 
 N = 3
 LEAST_SCORE = 0.5
@@ -29,6 +29,7 @@ BLOCK_BYTES = 32 << 20
 #: ASCII letters and digits and all of UTF-8 beyond ASCII stay; the rest parts words.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _FILTER_BITS = 22
+_ODD = np.uint64(11400714785074694791)
 
 
 def fold(text: bytes) -> bytes:
@@ -46,42 +47,46 @@ class Hit(NamedTuple):
 
 
 class Seeds:
-    """The seeds of one block of test items."""
+    """The seeds of one block of test items: pairs of words, next to each other or with one between.
+
+    An alignment of ``m`` of an item's ``n`` words that scores ``least`` has at most
+    2 (m - least n) words changed, added or left out.  Between two matched words in a row lie
+    two of these at most m - least n times, so ``least n - 1`` of its m - 1 steps have one or
+    none: both words of a seed, in the text and in the item.  An item needs as many seeds with
+    different first words.  Of half of them it is spared if they are common among the items:
+    each first word that is not held lowers the need by one.
+    """
 
-    def __init__(self, items: list[tuple[int | None, bytes]], n: int = N, rare: float = 0.05, widest: int = 50, share: float = 0.08):
+    def __init__(self, items: list[tuple[int | None, bytes]], n: int = N, least: float = LEAST_SCORE, rare: float = 0.05):
         by_text: dict[bytes, list[int | None]] = {}
         for item_id, text in items:
             by_text.setdefault(b" ".join(fold(text).split()), []).append(item_id)
         texts = [t for t in by_text if t.count(b" ") + 1 >= n]
-        self.n, self.ids = n, [by_text[t] for t in texts]
+        self.least, self.ids = least, [by_text[t] for t in texts]
         words = Words(texts)
         hashes = words.hashes()
         self.words = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        _, of_word = np.unique(hashes, return_inverse=True)
-        pairs = np.unique(np.stack((of_word, words.of)), axis=1)
-        spread = np.bincount(pairs[0], minlength=len(of_word))[of_word] if len(of_word) else of_word
-        is_rare = spread <= max(1, rare * len(texts))
-        keys = ngram_keys(hashes, n)
-        at = np.flatnonzero(words.of[: len(keys)] == words.of[n - 1 :]) if len(keys) else np.empty(0, np.int64)
-        held = np.zeros(len(at), bool)
-        for j in range(n):
-            held |= is_rare[at + j]
-        _, same, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
-        held &= counts[same] <= widest if len(at) else held
-        # An item without enough seeds of that kind is sought by all its n-grams.
-        grams = np.maximum(words.count - n + 1, 0)
-        self.need = np.minimum(np.maximum(2, np.ceil(share * grams)), grams).astype(np.int64)
-        poor = np.bincount(words.of[at[held]], minlength=len(texts)) < 2 * self.need
-        held |= poor[words.of[at]]
-        at = at[held]
-        order = np.argsort(keys[at], kind="stable")
-        self.keys, self.item = keys[at][order], words.of[at][order]
+        self.need = np.maximum(np.ceil(least * words.count - 1e-9).astype(np.int64) - 1, 1)
+        keys, at = _pairs(hashes, words.of)
+        _, same, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        spread = np.zeros(len(hashes), np.int64)
+        np.maximum.at(spread, at, counts[same])
+        order = np.lexsort((-spread, words.of))
+        rank = np.arange(len(order)) - words.first[words.of[order]]  # the commonest first
+        left_out = np.zeros(len(hashes), bool)
+        left_out[order] = (rank < self.need[words.of[order]] // 2) & (spread[order] > max(1, rare * len(texts)))
+        self.need -= np.bincount(words.of[left_out], minlength=len(texts))
+        keys, at = keys[~left_out[at]], at[~left_out[at]]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item = keys[order], words.of[at][order]
         self.place = (at - words.first[words.of[at]])[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
 
     def find(self, texts: list[bytes], least: float) -> list[Hit]:
         """The best alignment of each item in each text that scores ``least`` or more."""
+        if least < self.least:
+            raise ValueError(f"the seeds are those of scores from {self.least}")
         found: list[Hit] = []
         for a, b in groups([len(t) for t in texts]):
             found += [h._replace(text=h.text + a) for h in self._find(texts[a:b], least)]
@@ -90,10 +95,8 @@ class Seeds:
     def _find(self, texts: list[bytes], least: float) -> list[Hit]:
         words = Words([fold(t) for t in texts])
         hashes = words.hashes()
-        keys = ngram_keys(hashes, self.n)
-        at = np.flatnonzero(self.filter[keys >> np.uint64(64 - _FILTER_BITS)])
-        at = at[words.of[at] == words.of[at + self.n - 1]]
-        low, high = np.searchsorted(self.keys, keys[at]), np.searchsorted(self.keys, keys[at], "right")
+        keys, at = _pairs(hashes, words.of, self.filter)
+        low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
         count = high - low
         seed = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         at = np.repeat(at, count)
@@ -101,10 +104,12 @@ class Seeds:
             return []
         text, item, place = words.of[at], self.item[seed], self.place[seed]
         pair = text * np.int64(len(self.ids)) + item
-        distinct = np.unique(np.stack((pair, place)), axis=1)[0]
-        pairs, seeds = np.unique(distinct, return_counts=True)
-        likely = pairs[seeds >= self.need[pairs % len(self.ids)]]
-        keep = np.isin(pair, likely)
+        order = np.lexsort((place, pair))
+        pair, at, place = pair[order], at[order], place[order]
+        fresh = np.concatenate(([True], (pair[1:] != pair[:-1]) | (place[1:] != place[:-1])))
+        starts, ends = _runs(pair)
+        keep = np.add.reduceat(fresh, starts, dtype=np.int64) >= self.need[item[order][starts]]
+        keep = np.repeat(keep, ends - starts)
         if not keep.any():
             return []
         pair, at, place = pair[keep], at[keep], place[keep]
@@ -122,7 +127,7 @@ class Seeds:
     def _align(self, item_no: int, begins: np.ndarray, place: np.ndarray, hashes: np.ndarray, first: int, last: int) -> tuple | None:
         """Align with each stretch in which enough seeds lie on near diagonals."""
         item = self.words[item_no]
-        slack = len(item) // 2 + 2
+        slack = int(2 * len(item) * (1 - self.least)) + 1  # words that can be put in or left out
         edges = np.flatnonzero(np.diff(begins) > slack) + 1
         best = None
         for lo, hi in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(begins)])), strict=True):
@@ -135,6 +140,23 @@ class Seeds:
         return best
 
 
+def _pairs(hashes: np.ndarray, of: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs of words of one text, one or two places apart, and the first's place;
+    if ``known``, a filter, is given, only of those that pass it."""
+    found = []
+    for apart in (1, 2):
+        total = max(0, len(hashes) - apart)
+        key = hashes[:total] * _ODD
+        key ^= key >> np.uint64(29)
+        key += hashes[apart : apart + total]
+        key *= _ODD
+        key ^= key >> np.uint64(29)
+        at = np.arange(total) if known is None else np.flatnonzero(known[key >> np.uint64(64 - _FILTER_BITS)])
+        at = at[of[at] == of[at + apart]]
+        found.append((key[at], at))
+    return np.concatenate([k for k, _ in found]), np.concatenate([a for _, a in found])
+
+
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1
     return np.concatenate(([0], edges)), np.concatenate((edges, [len(sorted_keys)]))
@@ -172,12 +194,12 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: st
     blocks = [sc.broadcast(b) for b in _blocks(benchmark.select(F.col("item_id").cast("long"), "text"), block_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Seeds | None] = [Seeds(blocks[0].value)] if len(blocks) == 1 else [None] * len(blocks)
+        held: list[Seeds | None] = [Seeds(blocks[0].value, least=least)] if len(blocks) == 1 else [None] * len(blocks)
         for batch in batches:
             texts = as_bytes(batch.column(text))
             found: list[list[dict]] = [[] for _ in texts]
             for seeds, block in zip(held, blocks, strict=True):
-                seeds = seeds or Seeds(block.value)
+                seeds = seeds or Seeds(block.value, least=least)
                 for h in seeds.find(texts, least):
                     found[h.text] += [{"item_id": i, "score": h.score, "start": h.start, "end": h.end} for i in seeds.ids[h.item]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, out])

@@ -367,6 +367,27 @@ def test_leaks(spark, sf_dir, texts):
     assert found >= 0.97 * len(items)
 
 
+def test_no_alignment_is_passed_over():
+    """Whatever scores 0.5 is found: shared prompts with other tails, every third word changed, words put in."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    prompt = [f"p{i % 20}" for i in range(28)]
+    plain = [[rng.choice(vocabulary) for _ in range(rng.randrange(3, 40))] for _ in range(60)]
+    for items in (plain, [prompt + x[:10] for x in plain]):
+        seeds = decontamination.Seeds([(i, " ".join(x).encode()) for i, x in enumerate(items)])
+        for i, item in enumerate(items):
+            own = len(item) - 10 if items is not plain else 0
+            third = [rng.choice(vocabulary) if j % 3 == 2 else w for j, w in enumerate(item)]
+            tail = [rng.choice(vocabulary) if j >= own and rng.random() < 0.25 else w for j, w in enumerate(item)]
+            put_in = [w for x in item for w in (x, "else")][:-1]
+            middle = item[: len(item) // 2] + ["other"] * (len(item) // 2 + 3) + item[len(item) // 2 :]
+            for copy in (third, tail, put_in, middle, item[::2], item[: len(item) // 2 + 1]):
+                text = [f"t{j}" for j in range(50)] + copy + [f"u{j}" for j in range(50)]
+                if smith_waterman(item, text) >= 0.5:
+                    hits = [h.score for h in seeds.find([" ".join(text).encode()], 0.5) if i in seeds.ids[h.item]]
+                    assert hits == [pytest.approx(smith_waterman(item, text))]
+
+
 def test_leak_edges(spark):
     item = "the quick brown fox jumps over the lazy dog near the old stone bridge tonight"
     items = spark.createDataFrame([(1, item), (2, item), (3, None), (4, "two words"), (None, "a b c d e f g h")], "item_id long, text string")
