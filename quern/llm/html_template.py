@@ -186,7 +186,12 @@ def deduce(tokens: list[dict], pages: int) -> str:
         elif 10 * held >= 8 * total and label[0] in ("div", "section", "td", "body"):
             rated.append((1, False, depth, held, t["path"]))
     root = max(rated)[-1] if rated else ""
-    same = [t["path"] for t in tokens if pages > 2 and 2 * t["pages"] >= pages and t["low"] == t["high"] and t["words"] and not (t["path"] + ">").startswith(root + ">")]
+    constant = [t for t in tokens if pages > 2 and 2 * t["pages"] >= pages and t["low"] == t["high"] and t["words"]]
+    within = lambda t: (t["path"] + ">").startswith(root + ">")
+    # The whole page is no slot of the template: what is constant there is template too, unless all is.
+    whole = not root or root.rpartition(">")[2].split(".")[0] in ("html", "body")
+    varies = whole and any(t["words"] and t["low"] != t["high"] and not t["aside"] and within(t) for t in tokens)
+    same = [t["path"] for t in constant if varies or not within(t)]
     return json.dumps([root, sorted(same)])
 
 

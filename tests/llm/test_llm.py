@@ -501,6 +501,16 @@ def test_equal_vectors_are_classes():
     assert root == ">body>div.x" and same == [">body>p"]
 
 
+@pytest.mark.parametrize("body", ["<body>", "", "<body class=text>"])
+def test_constant_slots_without_article_slot(spark, body):
+    """Where the slot is the page itself, constant text is dropped, but not of pages that are all alike."""
+    page = body + "<table><tr><td>Fixed head line</td></tr></table><p>Own {n}</p><ul><li>All rights reserved</li></ul>"
+    rows = [(i, f"http://h.example/{i}", page.replace("{n}", f"words n{i}")) for i in range(6)] + [(i, f"http://same.example/{i}", page) for i in range(6, 9)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own words n{i}" for i in range(6))
+    assert all(got[i] == "Fixed head line\n\nOwn {n}\n\nAll rights reserved" for i in range(6, 9))
+
+
 # 9: licenses
 
 
