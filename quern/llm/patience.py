@@ -7,7 +7,7 @@ from bisect import bisect_left
 import numpy as np
 
 
-def _rising(places: list[int]) -> list[int]:
+def rising(places: list[int]) -> list[int]:
     """Indexes of a longest increasing subsequence."""
     piles: list[int] = []
     tops: list[int] = []
@@ -57,7 +57,7 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         anchors = sorted((i, j) for n, m, i, j in once.values() if n == m == 1)
         if not anchors:
             continue
-        at = [anchors[k] for k in _rising([j for _, j in anchors])]
+        at = [anchors[k] for k in rising([j for _, j in anchors])]
         pairs += at
         for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *at], [*at, (a1, b1)], strict=True):
             gaps.append((i + 1, k, j + 1, m))

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +17,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm import alignment, chat, cotraining, decontamination, differencing, html_template, licenses, near_dup, packing, patience, registry, repetition, secrets, vectext, warc
+from quern.llm import alignment, chat, cotraining, decontamination, differencing, html_blocks, html_template, licenses, near_dup, packing, patience, registry, repetition, secrets, vectext, warc
 from quern.llm.tokens import Encoder, added_tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -450,7 +452,7 @@ def test_pages(spark, sf_dir):
     assert len(got) == len(pages)
     for r in got:
         inner = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", pages[r["page_id"]], re.S)[1]
-        blocks = [" ".join(html_template.html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
@@ -477,15 +479,15 @@ def test_wrappers_are_no_asides(tag, wrapper):
         f"<h3 id='comments'>On comments</h3><section id='notice-period'><p>Three months notice of it</p></section><h2 id=search-algorithms>Search</h2>"
         f"<div class='share-links'><p>Share</p></div><form><p>Mail</p></form></{tag.split()[0]}><div class='site-footer'><p>Foot</p></div><div class='comment-list'><p>No</p></div></{wrapper.split()[0]}></body>"
     )
-    found, _ = html_template.blocks(page)
+    found, _ = html_blocks.blocks(page)
     assert [b.text for b in found if not b.aside] == ["Related", "It is long enough x to be most", "On comments", "Three months notice of it", "Search"]
 
 
 def test_asides_stay():
     page = "<body><article><p>The text</p></article><section class=related><article><p>Another card</p></article></section><div id=comments><p>" + "word " * 50 + "</p></div>"
-    assert [b.text for b in html_template.blocks(page)[0] if not b.aside] == ["The text"]
+    assert [b.text for b in html_blocks.blocks(page)[0] if not b.aside] == ["The text"]
     page = "<body><div><p>The text</p></div><div id=comments><p>" + "word " * 50 + "</p></div><nav>" + "link " * 50 + "</nav>"
-    assert [b.text for b in html_template.blocks(page)[0] if not b.aside] == ["The text"]
+    assert [b.text for b in html_blocks.blocks(page)[0] if not b.aside] == ["The text"]
 
 
 def test_page_edges(spark):
@@ -495,10 +497,91 @@ def test_page_edges(spark):
     assert html_template.extract(rows.limit(0)).count() == 0
 
 
-def test_equal_vectors_are_classes():
-    tokens = [dict(path=p, pages=4, times=t, vec_a=v, vec_b=v, words=w, low=lo, high=hi, aside=False) for p, t, v, w, lo, hi in ((">body", 4, 1, 0, 1, 1), (">body>div.x", 4, 1, 100, 1, 9), (">body>div.x>p", 9, 2, 400, 1, 9), (">body>p", 4, 1, 3, 5, 5))]
-    root, same = html_template.json.loads(html_template.deduce(tokens, 4))
-    assert root == ">body>div.x" and same == [">body>p"]
+CHROME = """<body>{0}<p>Site chrome line</p></div>{alpha}{1}<h1>Title n{n}</h1>{own}</div><blockquote>Read more here</blockquote>{beta}{2}<p>Constant legal text</p></div></body>"""
+
+
+def chrome_pages(boxes):
+    """Pages of one host whose chrome no name marks: lines on all pages, two notices that come and go, a line that repeats."""
+    pages, want = [], []
+    for n in range(10):
+        own = [f"First words of page n{n} are its own"] + [f"more of n{n} at {k}" for k in range(n % 3)] + ["A sentence that some pages share"] * (n < 7)
+        text = CHROME.format(
+            *boxes, n=n, own="".join(f"<p>{x}" for x in own), alpha="<section class=q1><p>Alpha notice</p></section>" * (n < 6), beta="<section class=q2><p>Beta notice</p></section>" * (n > 3)
+        )
+        pages.append(text.replace("<blockquote>Read more here</blockquote>", "<blockquote>Read more here</blockquote>" * (1 + n % 2)))
+        want.append("\n\n".join([f"Title n{n}", *own]))
+    return pages, want
+
+
+def extracted(spark, pages, **how):
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    got = html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), **how).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+@pytest.mark.parametrize("boxes", [("<div class=zz1>", "<div class=zz2>", "<div class=zz3>"), ("<div>", "<div>", "<div>"), ("<div class=zz0><div class=zz1>", "<div class=zz2>", "</div><div>")])
+def test_unmarked_chrome(spark, boxes):
+    pages, want = chrome_pages(boxes)
+    assert extracted(spark, pages) == want
+
+
+def test_templates_of_large_hosts(spark):
+    """Joins by parts give what a broadcast gives."""
+    pages, want = chrome_pages(("<div class=zz1>", "<div class=zz2>", "<div class=zz3>"))
+    assert extracted(spark, pages, broadcast_bytes=0, part_bytes=500) == want
+    assert extracted(spark, pages, broadcast_bytes=0) == want
+
+
+def local_template(pages, change=lambda t: t):
+    """The template of pages of one host by plain counting."""
+    parsed = [html_blocks.parse(p) for p in pages]
+    tokens = {}
+    for i, p in enumerate(parsed):
+        for k, n in Counter(p.keys).items():
+            at = p.keys.index(k)
+            above = p.keys[p.links[at]] if p.kinds[at] & 3 == 0 and p.links[at] >= 0 else 0
+            t = tokens.setdefault(k, dict(key=k, pages=0, times=0, vec_a=0, vec_b=0, pos=0, kind=p.kinds[at], asides=0, above=above))
+            for f, v in (("pages", 1), ("times", n), ("vec_a", hash((i, n)) % 1000003), ("pos", at)):
+                t[f] += v
+    tokens = [change(t) for t in tokens.values() if 2 * t["pages"] >= len(pages)]
+    arrays = [(np.array(p.keys), np.frombuffer(bytes(p.kinds), np.uint8), np.array(p.links), np.array([(b.at, b.box, b.aside) for b in p.blocks])) for p in parsed]
+    texts = [[b.text for b in p.blocks] for p in parsed]
+    candidates = html_template.classes(tokens, len(pages))
+    places, seen = html_template._places(html_template.json.dumps(candidates)), {}
+    for a, x in zip(arrays, texts, strict=True):
+        for k, lo, hi, bad, words in html_template.look(a, x, places):
+            s = seen.setdefault(k, dict(key=k, lo=lo, hi=hi, bad=0, words=0))
+            s.update(lo=min(s["lo"], lo), hi=max(s["hi"], hi), bad=s["bad"] + bad, words=s["words"] + words)
+    template = html_template.deduced(tokens, len(pages), candidates, list(seen.values()))
+    loaded = html_template._loaded(html_template.json.dumps(template))
+    return [html_template.main_text(a, x, loaded) for a, x in zip(arrays, texts, strict=True)], [html_template.main_text(a, x) for a, x in zip(arrays, texts, strict=True)]
+
+
+def test_vectors_decide():
+    """Without occurrence vectors, or without a template, other text comes out."""
+    pages, want = chrome_pages(("<div class=zz1>", "<div class=zz2>", "<div class=zz3>"))
+    got, bare = local_template(pages)
+    assert got == want and all(x != y for x, y in zip(bare, want, strict=True))
+    blind, _ = local_template(pages, lambda t: t | dict(vec_a=0, vec_b=0))
+    assert blind != want and "Alpha notice" in blind[0]
+
+
+def test_classes_must_nest():
+    """Copies of one page on most of a host are a class that no element encloses: their text stays."""
+    pages, want = chrome_pages(("<div class=zz1>", "<div class=zz2>", "<div class=zz3>"))
+    got, _ = local_template([*pages, *[pages[5]] * 15])
+    assert got == [*want, *[want[5]] * 15]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000 + "x", "<nav>" * 50_000 + "x", "<a " * 200_000, "<a \">\" " * 50_000 + '"', "<! " * 200_000, "<script " * 100_000, "<div>" * 30_000 + "</p></section>" * 30_000, "<script></script " * 50_000, "<p>" + "word " * 2_000_000],
+    ids=["deep", "marked", "unclosed", "quotes", "declarations", "scripts", "closed", "raw", "long"],
+)
+def test_hostile_pages(page):
+    begin = time.process_time()
+    found = html_blocks.parse(page)
+    assert time.process_time() - begin < 5 and len(found.keys) <= len(page)
 
 
 @pytest.mark.parametrize("body", ["<body>", "", "<body class=text>"])
