@@ -2,13 +2,13 @@
 
 Each task tokenises its own documents and packs them at once, so nothing is shuffled and
 nothing grows with the corpus.  A document's full runs of ``capacity`` tokens are sequences
-of their own.  What is left of each document goes into batches of ``windows`` sequences'
-worth of tokens; differencing merges partial partitions of opposing imbalance until it has
-dealt a batch into near-equal windows.  The window count is the least that holds the batch
-and rises whenever that capacity is exceeded; a window that still stands above the others'
-level by more than its room gives the end of its last piece to a window with space.  (With
-about three pieces to a window, raising the count until every uncut piece fits would leave
-3 to 5 percent of padding; cutting leaves less than one sequence for each batch.)
+of their own.  What is left of each document is a piece, and pieces come in batches of about
+``windows`` sequences' worth of tokens.  Differencing merges partial partitions of opposing
+imbalance until it has dealt a batch, pieces whole, into near-equal windows.  Their number
+begins as the least that holds the batch and rises while a window exceeds its capacity, as far
+as ``padding`` allows.  (With about three pieces to a window, raising it until all fit would
+leave 5 percent of padding.)  A window that exceeds it even then gives the end of its last
+piece to windows with room: only these pieces are cut.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from quern.llm.vectext import as_bytes
 
 CAPACITY = 2048
 END_ID = 1
+#: Share of a batch's tokens that may be left empty to keep pieces whole, and windows a batch.
+PADDING, WINDOWS = 0.005, 256
 _SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -69,18 +71,24 @@ def level(windows: list[list[list[int]]], capacity: int) -> list[list[list[int]]
     return windows
 
 
-def deal(sizes: np.ndarray, capacity: int) -> list[list[list[int]]]:
-    """Near-equal windows of pieces [item, from, to], as few as hold all items."""
-    count = max(1, -(-int(sizes.sum()) // capacity))
-    sets = partition(sizes, count)
-    return level([[[i, 0, int(sizes[i])] for i in s] for s in sets], capacity)
+def deal(sizes: np.ndarray, capacity: int, padding: float = PADDING) -> list[list[list[int]]]:
+    """Near-equal windows of pieces [item, from, to]: as few as hold all items, then more while
+    one exceeds ``capacity`` and no more than the share ``padding`` of all is left empty."""
+    total = int(sizes.sum())
+    count = max(1, -(-total // capacity))
+    most = max(count, int(total / (1 - padding) // capacity))
+    while True:
+        sets = partition(sizes, count)
+        if count == most or all(sizes[s].sum() <= capacity for s in sets):
+            return level([[[i, 0, int(sizes[i])] for i in s] for s in sets], capacity)
+        count += 1
 
 
 class Packer:
     """Packs one task's documents; ``put`` and ``finish`` give rows of the output table."""
 
-    def __init__(self, first_sequence: int, capacity: int, windows: int):
-        self.capacity, self.batch = capacity, capacity * windows
+    def __init__(self, first_sequence: int, capacity: int, windows: int, padding: float = PADDING):
+        self.capacity, self.batch, self.padding = capacity, capacity * windows, padding
         self.sequence = first_sequence
         self.waiting: list[tuple] = []  # (doc_id, start, doc_tokens, ids)
         self.held = 0
@@ -92,13 +100,11 @@ class Packer:
             self._row(doc_id, at, total, ids[4 * at : 4 * (at + self.capacity)], 0)
             self.sequence += 1
             at += self.capacity
-        while at < total:
-            n = min(total - at, self.batch - self.held)
-            self.waiting.append((doc_id, at, total, ids[4 * at : 4 * (at + n)]))
-            self.held += n
-            at += n
-            if self.held == self.batch:
+        if at < total:
+            if self.held + total - at > self.batch:
                 self.flush()
+            self.waiting.append((doc_id, at, total, ids[4 * at :]))
+            self.held += total - at
 
     def _row(self, doc_id: int | None, start: int, total: int, ids: bytes, offset: int) -> None:
         self.rows.append((doc_id, start, len(ids) // 4, total, self.sequence, offset, ids))
@@ -107,7 +113,7 @@ class Packer:
         if not self.waiting:
             return
         sizes = np.array([len(p[3]) // 4 for p in self.waiting], np.int64)
-        for window in deal(sizes, self.capacity):
+        for window in deal(sizes, self.capacity, self.padding):
             offset = 0
             for item, a, b in window:
                 doc_id, start, total, ids = self.waiting[item]
@@ -129,25 +135,28 @@ def pack(
     text: str = "text",
     doc_id: str = "doc_id",
     capacity: int = CAPACITY,
-    windows: int = 64,
+    windows: int = WINDOWS,
+    padding: float = PADDING,
     end_id: int = END_ID,
     added: tuple[tuple[str, int], ...] = (),
 ) -> DataFrame:
     """Pieces of the packed documents: doc_id, start, length, doc_tokens, sequence_id, offset
     and ids (little-endian unsigned 32-bit).
 
-    ``ranks``, ``pattern`` and ``added`` tokens are the vocabulary.  Every row of ``docs`` is a document of its
-    own: repeated rows, and rows with a null or repeated doc_id, are packed separately.  A null
-    or empty text is the single id ``end_id``.  Each id lies in exactly one piece.  Sequence
-    ids are unique, not consecutive (the task's number is in the high bits); offsets in a
-    sequence leave no gap.  Only a task's last batch can leave padding.  An empty table gives
-    an empty result; other columns are ignored.
+    ``ranks``, ``pattern`` and ``added`` tokens are the vocabulary.  Every row of ``docs`` is a
+    document of its own: repeated rows, and rows with a null or repeated doc_id, are packed
+    separately.  A null or empty text is the single id ``end_id``.  A very long text is encoded
+    whole and cut into full sequences as it comes; ties between equal sizes go to the earlier
+    row.  Each id lies in exactly one piece.  Sequence ids are unique, not consecutive (the
+    task's number is in the high bits); offsets in a sequence leave no gap.  Beside ``padding``
+    of it, a batch leaves less than one sequence empty.  An empty table gives an empty result;
+    other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = shared_encoder(ranks, pattern, added), np.array([end_id], "<u4").tobytes()
-        packer = Packer(TaskContext.get().partitionId() << 33, capacity, windows)
+        packer = Packer(TaskContext.get().partitionId() << 33, capacity, windows, padding)
         waiting = 0
         for batch in batches:
             for key, content in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
