@@ -1,10 +1,11 @@
 """Quality scores by co-training a text-content and a page-metadata classifier.
 
 Both views' features of every document are written once.  Each view is fitted to a sample of
-labelled rows; then, for a few rounds, each scores all documents and gives the other the ones
-it is surest of as pseudo-labels.  At the end both are calibrated on labelled rows that
-neither was fitted to, and every document gets the posterior of the two as independent
-evidence.
+labelled rows; then, for a few rounds, each scores all documents and gives the other, of either
+class, the ones it ranks surest above what the class's share alone would say.  A pseudo-label
+weighs as much as its score exceeds that share, and a view keeps what it was given if rows
+held out say that it is no worse for it.  Views are calibrated on scores of rows
+that they were not fitted to, and in the end every document gets the posterior of the two as independent evidence.
 
 Bounds: at most ``max_labelled`` labelled rows (those of least hash) and, for each round and
 view, ``grow`` pseudo-labels of each class reach the driver; everything else covers all rows.
@@ -13,7 +14,9 @@ view, ``grow`` pseudo-labels of each class reach the driver; everything else cov
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.logistic import Model, calibrated, fit, logit, sigmoid
+from quern.llm.logistic import Model, fit, logit, platt, sigmoid
 from quern.llm.vectext import IS_LEAD, Words, as_bytes, groups
 from quern.scratch import materialize
 
-MAX_LABELLED, GROW, ROUNDS, SURE = 8000, 200, 3, 0.95
-_WORD_BINS, _SOURCE_BINS, _LANG_BINS = 256, 64, 16
+MAX_LABELLED, GROW, ROUNDS = 8000, 200, 3
+#: Labelled rows of a class from which a single quarter is held out.
+FEW = 50
+#: Columns of the metadata view.
+META = ("source", "lang", "n_chars")
+_WORD_BINS, _VALUE_BINS = 256, 64
+_PART = re.compile(r"[A-Za-z]+|\d+|[^\W\d_]+")
 #: Byte classes whose share of a text is a feature.
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b"!?", b".,;:", b"\n", b"\"'()[]{}", b"@_/\\~^=+-"]
 _CLASS_OF = np.zeros((256, len(_CLASSES)), bool)
 for _j, _c in enumerate(_CLASSES):
     _CLASS_OF[list(_c), _j] = True
-TEXT_SIZE, META_SIZE = _WORD_BINS + len(_CLASSES) + 6, _SOURCE_BINS + _LANG_BINS + 3
+TEXT_SIZE = _WORD_BINS + len(_CLASSES) + 6
 
 
 def text_features(texts: list[bytes]) -> np.ndarray:
@@ -63,69 +71,108 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """Hashed source and language, and the stated length."""
-    out = np.zeros((len(source), META_SIZE), np.float16)
-    rows = np.arange(len(source))
-    bin_of = lambda values, n: [xxhash.xxh64_intdigest(v or "\0") % n for v in values]
-    out[rows, bin_of(source, _SOURCE_BINS)] = 1
-    out[rows, _SOURCE_BINS + np.array(bin_of(lang, _LANG_BINS), np.int64)] = 1
-    size = np.log1p(np.maximum([n or 0 for n in n_chars], 0)) / 10
-    out[:, -3], out[:, -2], out[:, -1] = size, size**2, [n is None for n in n_chars]
-    return out
-
-
-def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_view, meta_view) of ``docs`` (doc_id, text, source, lang, n_chars)."""
+def meta_features(columns: list[list]) -> np.ndarray:
+    """Of each column: bins of the value and of its parts (strings), or of its size by eighths of
+    an octave (numbers), its size and square, and whether it is missing."""
+    wide = _VALUE_BINS + 3
+    out = np.zeros((len(columns[0]), wide * len(columns)), np.float16)
+    known: dict[tuple, list[int]] = {}
+    for j, column in enumerate(columns):
+        part = out[:, j * wide : (j + 1) * wide]
+        for i, v in enumerate(column):
+            if v is None:
+                part[i, -1] = 1
+                continue
+            size = np.log1p(abs(float(v)) if not isinstance(v, str) else len(v))
+            part[i, -3], part[i, -2] = size / 10, size * size / 100
+            key = (j, v) if isinstance(v, str) else (j, int(size * 8 / np.log(2)) if np.isfinite(size) else -1, v < 0)
+            if key not in known:
+                names = [v, *_PART.findall(v)] if isinstance(v, str) else [str(key)]
+                known[key] = [xxhash.xxh64_intdigest(n, seed=k > 0) % _VALUE_BINS for k, n in enumerate(names)]
+            part[i, known[key][1:]] = 0.5
+            part[i, known[key][0]] = 1
+        if len(known) > 1 << 16:
+            known.clear()
+    return np.nan_to_num(out, posinf=0, neginf=0)
+
+
+def featured(docs: DataFrame, meta: tuple[str, ...] = META) -> DataFrame:
+    """(doc_id, text_view, meta_view) of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = text_features(as_bytes(batch.column(1)))
-            meta = meta_features(*(c.to_pylist() for c in batch.columns[2:]))
-            packed = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (text, meta)]
+            views = text_features(as_bytes(batch.column(1))), meta_features([c.to_pylist() for c in batch.columns[2:]])
+            packed = [pa.array([r.tobytes() for r in m], pa.binary()) for m in views]
             yield pa.RecordBatch.from_arrays([batch.column(0), *packed], ["doc_id", "text_view", "meta_view"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", F.col("n_chars").cast("long"))
+    number = lambda c: isinstance(docs.schema[c].dataType, (T.NumericType, T.BooleanType))
+    columns = [F.col(c).cast("double" if number(c) else "string").alias(f"meta_{i}") for i, c in enumerate(meta)]
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *columns)
     return rows.mapInArrow(run, "doc_id long, text_view binary, meta_view binary")
 
 
-def _matrix(packed: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), np.float16).reshape(-1, width).astype(np.float64)
+def _matrix(packed: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, np.float16) for p in packed]).astype(np.float64)
+
+
+def _digest(views: tuple[bytes, bytes]) -> int:
+    return xxhash.xxh64_intdigest(views[0] + views[1]) >> 1
 
 
-def _surest(features: DataFrame, text: Model, meta: Model, grow: int, sure: float) -> list:
-    """For each view and class the ``grow`` surest documents of all, equal ones once."""
+class Given(NamedTuple):
+    """A pseudo-label that ``view`` gives; rows of equal features come once."""
+
+    view: str
+    label: int
+    score: float
+    digest: int
+    text_view: bytes
+    meta_view: bytes
+
+
+def surest(features: DataFrame, text: Model, meta: Model, grow: int, share: float, known: frozenset[int]) -> list[Given]:
+    """For each view and class the ``grow`` surest documents of all whose score exceeds the
+    class's share, but those of ``known`` digests; of equal scores the smallest digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[tuple[str, int], dict[tuple[bytes, bytes], tuple[float, int | None]]] = {(v, y): {} for v in ("text", "meta") for y in (0, 1)}
+        kept: dict[tuple[str, int], dict[int, Given]] = {(v, y): {} for v in ("text", "meta") for y in (0, 1)}
         for batch in batches:
-            ids, views = batch.column(0).to_pylist(), list(zip(as_bytes(batch.column(1)), as_bytes(batch.column(2)), strict=True))
-            for view, model, j, width in (("text", text, 0, TEXT_SIZE), ("meta", meta, 1, META_SIZE)):
-                p = sigmoid(model.logits(_matrix([v[j] for v in views], width)))
-                for y, score in ((1, p), (0, 1 - p)):
-                    best = heaps[view, y]
-                    for i in np.argsort(-score, kind="stable")[: 4 * grow]:
-                        if score[i] >= sure:
-                            best.setdefault(views[i], (float(score[i]), ids[i]))
+            views = list(zip(as_bytes(batch.column(1)), as_bytes(batch.column(2)), strict=True))
+            for view, model, j in (("text", text, 0), ("meta", meta, 1)):
+                p = sigmoid(model.logits(_matrix([v[j] for v in views]))) if views else np.empty(0)
+                for y, score, base in ((1, p, share), (0, 1 - p, 1 - share)):
+                    best = kept[view, y]
+                    fresh: set[int] = set()  # of this batch
+                    last = 2.0
+                    for i in np.argsort(-score, kind="stable"):
+                        s = float(score[i])
+                        if s <= base or len(fresh) >= grow and s < last:
+                            break
+                        digest = _digest(views[i])
+                        if digest not in known:
+                            best.setdefault(digest, Given(view, y, s, digest, *views[i]))
+                            fresh.add(digest)
+                            last = s
                     if len(best) > grow:
-                        heaps[view, y] = dict(heapq.nlargest(grow, best.items(), key=lambda x: (x[1][0], x[0])))
-        rows = [(view, y, score, i, *features) for (view, y), best in heaps.items() for features, (score, i) in best.items()]
+                        kept[view, y] = {g.digest: g for g in heapq.nsmallest(grow, best.values(), key=lambda g: (-g.score, g.digest))}
+        rows = [g for best in kept.values() for g in best.values()]
         if rows:
             kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    names = ["view", "label", "score", "doc_id", "text_view", "meta_view"]
-    found = features.mapInArrow(run, "view string, label long, score double, doc_id long, text_view binary, meta_view binary")
-    found = found.groupBy("view", "label", "text_view", "meta_view").agg(F.max("score").alias("score"))
-    # Surest first; equal scores in the order of a hash, so that none fills the list by chance.
-    key = F.log(1 - F.col("score") + 1e-12) + F.pmod(F.xxhash64("text_view", "meta_view"), F.lit(1 << 20)) * 1e-12
-    found = materialize(found.withColumn("order", key), "surest")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(Given._fields))
+
+    found = features.mapInArrow(run, "view string, label long, score double, digest long, text_view binary, meta_view binary")
+    # Equal features have one digest and one score.
+    found = materialize(found.groupBy("view", "label", "digest").agg(*(F.max(c).alias(c) for c in ("score", "text_view", "meta_view"))), "surest")
     counts = {(r["view"], r["label"]): r["count"] for r in found.groupBy("view", "label").count().collect()}
-    return [r for (view, label), n in sorted(counts.items()) for r in _least(found.where((F.col("view") == view) & (F.col("label") == label)), "order", n, grow)]
+    out = []
+    for (view, label), n in sorted(counts.items()):
+        mine = found.where((F.col("view") == view) & (F.col("label") == label)).withColumn("order", -F.col("score"))
+        out += [Given(*(bytes(r[f]) if f.endswith("_view") else r[f] for f in Given._fields)) for r in _least(mine, "order", n, grow, "digest")]
+    return out
 
 
-def _least(rows: DataFrame, order: str, count: int, most: int) -> list:
-    """The ``most`` of ``count`` rows of least ``order``.
+def _least(rows: DataFrame, order: str, count: int, most: int, *ties: str) -> list:
+    """The ``most`` of ``count`` rows of least ``order``, then ``ties``.
 
     A quantile is asked for first, so that tasks send about as many rows in all, not as many
     each.
@@ -133,63 +180,117 @@ def _least(rows: DataFrame, order: str, count: int, most: int) -> list:
     if count > 2 * most:
         share = min(1.0, 1.5 * most / count + 2e-4)
         rows = rows.where(F.col(order) <= rows.agg(F.percentile_approx(order, share, 10000)).first()[0])
-    return rows.orderBy(order).limit(most).collect()
+    return rows.orderBy(order, *ties).limit(most).collect()
+
+
+class Trained(NamedTuple):
+    """Calibrated models of both views, the prior logit, and for each round how many
+    pseudo-labels (view, label) were given and which views kept theirs."""
+
+    text: Model
+    meta: Model
+    prior: float
+    sent: list[dict[tuple[str, int], int]]
+    kept: list[tuple[bool, bool]]
+
 
+class _View:
+    """One view's labelled rows and the pseudo-labels it has kept.
 
-def train(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grow: int = GROW, rounds: int = ROUNDS, sure: float = SURE) -> tuple[Model, Model, float] | None:
-    """Calibrated models of both views and the prior logit; None if a class has no labels."""
+    ``folds`` are rows to hold out in turn.  With one of them the model is fitted to the other
+    rows; with several, which few labels need, to all, and rows are only held out to calibrate.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, folds: list[np.ndarray]):
+        self.x, self.y, self.folds = x, y, folds
+        self.more: list[tuple[np.ndarray, int, float]] = []
+        self.model, self.loss = self._fitted([])
+
+    def _fit(self, rows: np.ndarray, more: list[tuple[np.ndarray, int, float]]) -> Model:
+        x = np.concatenate([self.x[rows], *(m[0][None] for m in more)])
+        y = np.concatenate([self.y[rows], [m[1] for m in more]])
+        return fit(x, y, np.concatenate([np.ones(rows.sum()), [m[2] for m in more]]))
+
+    def _fitted(self, more: list[tuple[np.ndarray, int, float]]) -> tuple[Model, float]:
+        """The calibrated model and its mean loss on the rows held out."""
+        models = [self._fit(~f, more) for f in self.folds]
+        raw = np.concatenate([m.raw(self.x[f]) for m, f in zip(models, self.folds, strict=True)])
+        y = np.concatenate([self.y[f] for f in self.folds])
+        slope, shift = platt(raw, y)
+        p = np.clip(sigmoid(slope * raw + shift), 1e-6, 1 - 1e-6)
+        model = models[0] if len(models) == 1 else self._fit(np.ones(len(self.y), bool), more)
+        return model._replace(slope=slope, shift=shift), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    def taught(self, given: list[tuple[np.ndarray, int, float]], slack: float) -> bool:
+        """Take pseudo-labels, unless the rows held out say that the view is the worse for them."""
+        model, loss = self._fitted(self.more + given)
+        if loss > self.loss * (1 + slack) + 1e-3:
+            return False
+        self.more, self.model, self.loss = self.more + given, model, min(loss, self.loss)
+        return True
+
+
+def _folds(y: np.ndarray) -> list[np.ndarray]:
+    """A quarter of many rows, or five parts of few; each class is dealt to all of them."""
+    rank = np.empty(len(y), np.int64)
+    for c in (0, 1):
+        mine = np.flatnonzero(y == c)
+        rank[mine] = np.arange(len(mine))
+    if min((y == 0).sum(), (y == 1).sum()) >= FEW:
+        return [rank % 4 == 3]
+    parts = [f for k in range(5) if (f := rank % 5 == k).any() and len(set(y[~f])) == 2]
+    return parts or [np.zeros(len(y), bool)]
+
+
+def train(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grow: int = GROW, rounds: int = ROUNDS, slack: float = 0.02) -> Trained | None:
+    """Models after ``rounds``; None if a class has no labels.  A view refuses pseudo-labels that
+    raise its loss on held-out rows by more than ``slack``."""
     votes = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("label").cast("double")).alias("y")).where("y <> 0.5")
     labelled = features.join(votes, "doc_id").withColumn("order", F.xxhash64("doc_id", "row"))
     rows = _least(labelled, "order", labelled.count(), max_labelled)
     y = np.array([float(r["y"] > 0.5) for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    views = [_matrix([r["text_view"] for r in rows], TEXT_SIZE), _matrix([r["meta_view"] for r in rows], META_SIZE)]
-    held = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held[:] = False
-    extra: list[tuple[list, list]] = [([], []), ([], [])]  # pseudo-labelled rows of each view
-
-    def fitted() -> list[Model]:
-        models = []
-        for x, (more, guess) in zip(views, extra, strict=True):
-            all_x = np.concatenate([x[~held], *(m[None] for m in more)])
-            weight = np.concatenate([np.ones((~held).sum()), np.full(len(more), 0.5)])
-            models.append(fit(all_x, np.concatenate([y[~held], guess]), weight))
-        return models
-
-    check = held if held.any() else ~held
+    folds = _folds(y)
+    names = ("text_view", "meta_view")
+    views = [_View(_matrix([bytes(r[v]) for r in rows]), y, folds) for v in names]
+    known = {_digest((bytes(r["text_view"]), bytes(r["meta_view"]))) for r in rows}
+    share = float(y.mean())
+    sent, kept = [], []
     for _ in range(rounds):
-        models = [calibrated(m, x[check], y[check]) for m, x in zip(fitted(), views, strict=True)]
-        for r in _surest(features, *models, grow, sure):
-            to = 1 if r["view"] == "text" else 0  # each view teaches the other
-            packed, width = ((r["text_view"], TEXT_SIZE), (r["meta_view"], META_SIZE))[to]
-            extra[to][0].append(_matrix([packed], width)[0])
-            extra[to][1].append(float(r["label"]))
-    text, meta = (calibrated(m, x[check], y[check]) for m, x in zip(fitted(), views, strict=True))
-    return text, meta, float(logit(y.mean()))
-
-
-def score(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds: int) -> DataFrame:
+        found = surest(features, views[0].model, views[1].model, grow, share, frozenset(known))
+        given: list[list[tuple[np.ndarray, int, float]]] = [[], []]
+        for g in found:
+            base = share if g.label else 1 - share
+            to = 1 if g.view == "text" else 0  # each view teaches the other
+            given[to].append((_matrix([g[4 + to]])[0], g.label, (g.score - base) / (1 - base)))
+            known.add(g.digest)
+        kept.append(tuple(bool(more) and view.taught(more, slack) for view, more in zip(views, given, strict=True)))
+        sent.append({(v, label): sum(g.view == v and g.label == label for g in found) for v in ("text", "meta") for label in (0, 1)})
+    return Trained(views[0].model, views[1].model, float(logit(y.mean())), sent, kept)
+
+
+def score(docs: DataFrame, labels: DataFrame, least: float = 0.5, meta: tuple[str, ...] = META, **bounds: int) -> DataFrame:
     """doc_id, text_score, meta_score, score and kept (score >= ``least``) for each document.
 
     ``labels`` is (doc_id, label 0 or 1); a document with several takes their majority, ties
-    and nulls count as unlabelled.  If a class has no labels, all scores are 0.5.  Null texts
-    count as empty, null source and lang as values of their own.  Repeated rows and null ids
-    are scored like others.  An empty table gives an empty result.
+    and nulls count as unlabelled.  ``meta`` names the columns of the metadata view, strings or
+    numbers.  If a class has no labels, all scores are 0.5.  Null texts count as empty, null
+    metadata as missing.  Repeated rows and null ids are scored like others, and equal rows are
+    one in the choice of pseudo-labels.  A text of any length is measured whole.  An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
-    features = materialize(featured(docs).withColumn("row", F.monotonically_increasing_id()), "features")
+    features = materialize(featured(docs, meta).withColumn("row", F.monotonically_increasing_id()), "features")
     models = train(features, labels.select(F.col("doc_id").cast("long"), "label"), **bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if models is None:
-                text = meta = both = np.full(batch.num_rows, 0.5)
+            if models is None or not batch.num_rows:
+                text = meta_ = both = np.full(batch.num_rows, 0.5)
             else:
-                a = models[0].logits(_matrix(as_bytes(batch.column(1)), TEXT_SIZE))
-                b = models[1].logits(_matrix(as_bytes(batch.column(2)), META_SIZE))
-                text, meta, both = sigmoid(a), sigmoid(b), sigmoid(a + b - models[2])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text), pa.array(meta), pa.array(both)], ["doc_id", "text_score", "meta_score", "score"])
+                a, b = (m.logits(_matrix(as_bytes(batch.column(j)))) for m, j in ((models.text, 1), (models.meta, 2)))
+                text, meta_, both = sigmoid(a), sigmoid(b), sigmoid(a + b - models.prior)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text), pa.array(meta_), pa.array(both)], ["doc_id", "text_score", "meta_score", "score"])
 
     scored = features.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
     return scored.withColumn("kept", F.col("score") >= least)

@@ -54,9 +54,10 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 5.0) ->
     return Model(mean, scale, newton((x - mean) / scale, y, weight, ridge))
 
 
-def calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Platt scaling on rows that the model was not fitted to, with his smoothed targets."""
+def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of Platt scaling, with his smoothed targets, from scores of rows that
+    the model was not fitted to."""
     positives = y.sum()
     target = np.where(y > 0.5, (positives + 1) / (positives + 2), 1 / (len(y) - positives + 2))
-    slope, shift = newton(model.raw(x)[:, None], target, np.ones(len(y)), 1e-3)
-    return model._replace(slope=max(float(slope), 0.0), shift=float(shift))
+    slope, shift = newton(raw[:, None], target, np.ones(len(y)), 1e-3)
+    return max(float(slope), 0.0), float(shift)
