@@ -32,13 +32,12 @@ from pyspark.sql import types as T
 
 from quern.llm.html_blocks import ARTICLE, ASIDE, BOX, MAIN, NAMED, START, TEXT, WHOLE, parse
 from quern.llm.patience import rising
+from quern.llm.spread import BROADCAST_BYTES, Spread
 from quern.llm.vectext import as_bytes
 from quern.scratch import materialize
 
-#: What is known of all hosts is broadcast up to this size.
-BROADCAST_BYTES = 16 << 20
-#: Bytes of pages from which a host is dealt to parts; there are at most MOST_PARTED such hosts.
-PART_BYTES, MOST_PARTED = 64 << 20, 20_000
+#: Bytes of pages from which a host is dealt to parts.
+PART_BYTES = 64 << 20
 #: Share of a host's pages, in percent, that hold a template token; that hold text which is
 #: template whatever is around it; that may break the frame's order at a token.
 OFTEN, ALWAYS, DISORDER = 50, 90, 5
@@ -145,33 +144,6 @@ def _counted(parsed: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("host", "key").agg(*sums, F.max("kind").alias("kind"), F.max("above").alias("above")), "tokens")
 
 
-class Beside:
-    """Joins rows of pages or tokens with what is known of their host."""
-
-    def __init__(self, sums: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, part_bytes: int = PART_BYTES):
-        self.most = broadcast_bytes
-        self.hosts = sums.where("key = 0").select("host", F.col("pages").alias("n"), "bytes")
-        total = self.hosts.agg(F.sum("bytes")).first()[0] or 0
-        self.part = max(part_bytes, total // MOST_PARTED)
-        #: Fewer than MOST_PARTED rows: each has more than that share of all bytes.
-        self.parted = self.hosts.where(F.col("bytes") > self.part).select("host", self._parts().alias("parts"))
-
-    def _parts(self) -> Column:
-        return F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(self.part))).cast("int")
-
-    def join(self, rows: DataFrame, known: DataFrame, dealt_by: str, size: Column) -> DataFrame:
-        """``rows`` (host, ...) with ``known`` (host, ...), one row a host, of ``size`` bytes a
-        row; the rows of large hosts are dealt by the column ``dealt_by``."""
-        held = known.agg(F.sum(size + F.octet_length("host") + 16)).first()[0] or 0
-        if held <= self.most:
-            return rows.join(F.broadcast(known), "host", "left")
-        part = F.pmod(F.xxhash64(dealt_by), F.coalesce("parts", F.lit(1))).cast("int")
-        dealt = rows.join(F.broadcast(self.parted), "host", "left").withColumn("part", part).drop("parts")
-        each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-        copies = known.join(F.broadcast(self.parted), "host", "left").withColumn("part", each).drop("parts")
-        return dealt.join(copies, ["host", "part"], "left").drop("part")
-
-
 # A host's template: its classes, then what their places on all pages leave of them.
 
 
@@ -323,13 +295,13 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "key", "lo", "hi", "bad", "words"])
 
 
-def templates(parsed: DataFrame, sums: DataFrame, beside: Beside) -> DataFrame:
+def templates(parsed: DataFrame, sums: DataFrame, beside: Spread) -> DataFrame:
     """(host, template) from all pages.
 
     A host keeps the tokens that at least half of its pages have: at most twice as many as an
     average page, however many pages there are.
     """
-    counted = beside.join(sums.where("key <> 0 and (pages > 1 or times > 1 or kind <> 0)"), beside.hosts.select("host", "n"), "key", F.lit(16))
+    counted = beside.join(sums.where("key <> 0 and (pages > 1 or times > 1 or kind <> 0)"), sums.where("key = 0").select("host", F.col("pages").alias("n")), "key", F.lit(16))
     often = counted.where(f"100 * pages >= {OFTEN} * n")
     fields = ("key", "pages", "times", "vec_a", "vec_b", "pos", "kind", "asides", "above")
     per_host = often.groupBy("host", "n").agg(F.collect_list(F.struct(*fields)).alias("tokens"))
@@ -423,7 +395,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, part_bytes
     """
     parsed = _parsed(pages.select("page_id", "url", host(F.col("url")).alias("host"), "html"))
     sums = _counted(parsed)
-    beside = Beside(sums, broadcast_bytes, part_bytes)
+    beside = Spread(sums.where("key = 0").select("host", F.col("bytes").alias("weight")), "host", part_bytes, broadcast_bytes)
     known = templates(parsed, sums, beside)
     rows = parsed.select("host", "page_id", "url", "digest", "keys", "kinds", "links", "blocks", "texts")
     met = beside.join(rows, known, "digest", F.octet_length("template")).select("page_id", "url", "template", "keys", "kinds", "links", "blocks", "texts")

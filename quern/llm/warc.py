@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.spread import BROADCAST_BYTES, Spread
 from quern.llm.vectext import as_bytes
 from quern.scratch import materialize, new_path
 
@@ -32,6 +34,13 @@ SEEK_FRAME, INDEX_FRAME, SEEK_END = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _END = struct.pack("<I", SEEK_END)
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 DATE = "1970-01-01T00:00:00Z"
+#: What would end a header line, or be trimmed from it.
+_CONTROL = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029]")
+
+
+def uri(url: str) -> str:
+    """``url`` with white space and control characters percent-encoded."""
+    return _CONTROL.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
 
 
 def record_id(url: str, page_id: object, copy: int) -> str:
@@ -39,20 +48,27 @@ def record_id(url: str, page_id: object, copy: int) -> str:
     return uuid.uuid5(_NAMES, f"{url}#{page_id}#{copy}").hex
 
 
-def record(kind: str, rid: str, url: str, page_id: object, digest: str, payload: bytes, refers_to: object, full: int) -> bytes:
-    """One record; a revisit has the full payload's size and digest but no payload."""
+def record(kind: str, rid: str, url: str, page_id: object, digest: str, payload: bytes, full: int, first: tuple[object, str, str] | None = None) -> bytes:
+    """One record; a revisit has the full payload's size and digest but no payload, and names the
+    page id, record id and url of the ``first``."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:uuid:{uuid.UUID(rid)}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Target-URI: {uri(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {full}",
     ]
-    if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
+    if first:
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: <urn:uuid:{uuid.UUID(first[1])}>",
+            f"WARC-Refers-To-Target-URI: {uri(first[2])}",
+            f"WARC-Refers-To-Date: {DATE}",
+            f"X-Refers-To-Page-ID: {'' if first[0] is None else first[0]}",
+        ]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -132,41 +148,54 @@ class Reader:
         return self._open[1][offset : offset + size]
 
 
-def write(pages: DataFrame, path: str, least: int = 0, bundle_bytes: int = 8 << 20, frame_bytes: int = 256 << 10) -> None:
+def write(
+    pages: DataFrame, path: str, least: int = 0, bundle_bytes: int = 8 << 20, frame_bytes: int = 256 << 10, part_rows: int = 20_000, broadcast_bytes: int = BROADCAST_BYTES
+) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html) into bundles at ``path``.
 
     Payloads are the html in UTF-8, null as empty.  Of the rows with equal payloads of at least
     ``least`` bytes that with the largest page_id is a response and the others revisit it;
     smaller ones are all responses.  Ties (repeated page_ids) go to one of the rows; a null
-    page_id is the smallest.  A null url is written as empty.  An empty table writes no bundle.
+    page_id is the smallest.  A null url is written as empty, white space and control characters
+    of one percent-encoded.  A payload of any length is one record in a frame of its own.  An
+    empty table writes no bundle; other columns are ignored.
+
+    Rows are written once with their ids, so that these are the same wherever they are read.
+    Only digests and ids meet by digest.  What is found of repeated payloads goes to the rows by
+    broadcast if it is small in all (measured), otherwise payloads meet it by digest, those of
+    more than ``part_rows`` copies in parts.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.coalesce("url", F.lit("")).alias("url"),
-        F.monotonically_increasing_id().alias("copy"),
-        payload.alias("payload"),
-        F.unhex(F.sha1(payload)).alias("sha1"),
+    rows = materialize(
+        pages.select(
+            F.col("page_id").cast("long").alias("page_id"),
+            F.coalesce("url", F.lit("")).alias("url"),
+            F.monotonically_increasing_id().alias("copy"),
+            payload.alias("payload"),
+            F.unhex(F.sha1(payload)).alias("sha1"),
+        ),
+        "payloads",
     )
-    # Sums of equal payloads come together by digest; only digests and ids are shuffled here.
-    firsts = rows.groupBy("sha1").agg(F.max(F.struct("page_id", "copy")).alias("first"))
-    shared = rows.join(firsts, "sha1").withColumn(
-        "refers_to", F.when((F.octet_length("payload") >= least) & (F.col("copy") != F.col("first.copy")), F.col("first.page_id"))
+    repeated = rows.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.max(F.struct("page_id", "copy", "url")).alias("first"), F.count("*").alias("weight"))
+    repeated = materialize(repeated.where("weight > 1"), "repeated")
+    beside = Spread(repeated.select("sha1", "weight"), "sha1", part_rows, broadcast_bytes)
+    marked = beside.join(rows, repeated.select("sha1", "first"), "copy", F.octet_length("first.url") + 32)
+    marked = marked.select("page_id", "url", "copy", "payload", "sha1", "first.page_id", "first.copy", "first.url").toDF(
+        "page_id", "url", "copy", "payload", "sha1", "first_page", "first_copy", "first_url"
     )
-    marked = shared.select(
-        "page_id", "url", "copy", "payload", "sha1", "refers_to",
-        ((F.octet_length("payload") >= least) & (F.col("copy") != F.col("first.copy"))).alias("again"),
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = Bundle(frame_bytes)
         give = lambda: pa.RecordBatch.from_arrays([pa.array([bundle.close()], pa.binary())], ["value"])
         for batch in batches:
-            for page_id, url, copy, data, sha1, refers_to, again in zip(*(as_bytes(c) if i == 3 else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
-                digest = base64.b32encode(sha1).decode()
-                kind = "revisit" if again else "response"
-                rid = record_id(url, page_id, copy)
-                bundle.add(rid, record(kind, rid, url, page_id, digest, b"" if again else data, refers_to, len(data)))
+            columns = (as_bytes(c) if i == 3 else c.to_pylist() for i, c in enumerate(batch.columns))
+            for page_id, url, copy, data, sha1, first_page, first_copy, first_url in zip(*columns, strict=True):
+                rid, digest = record_id(url, page_id, copy), base64.b32encode(sha1).decode()
+                if first_copy is None or first_copy == copy:
+                    bundle.add(rid, record("response", rid, url, page_id, digest, data, len(data)))
+                else:
+                    first = first_page, record_id(first_url, first_page, first_copy), first_url
+                    bundle.add(rid, record("revisit", rid, url, page_id, digest, b"", len(data), first))
                 if len(bundle) >= bundle_bytes:
                     yield give()
                     bundle = Bundle(frame_bytes)
@@ -192,6 +221,7 @@ _READ = T.StructType(
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload_digest", T.StringType()),
         T.StructField("refers_to", T.LongType()),
+        T.StructField("refers_to_record", T.StringType()),
         T.StructField("payload", T.BinaryType()),
     ]
 )
@@ -213,7 +243,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError(f"record {rid} is damaged")
                     number = lambda k: int(fields[k]) if fields.get(k) else None
-                    rows.append((number("x-page-id"), fields["warc-target-uri"], rid, kind, size, digest, number("x-refers-to-page-id"), payload))
+                    rows.append((number("x-page-id"), fields["warc-target-uri"], rid, kind, size, digest, number("x-refers-to-page-id"), _plain_id(fields.get("warc-refers-to")), payload))
                     if len(rows) == 1024:
                         yield _batch(rows)
                         rows = []
@@ -223,8 +253,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, _READ)
 
 
+def _plain_id(urn: str | None) -> str | None:
+    return urn and uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:")).hex
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _READ.names)
 
 

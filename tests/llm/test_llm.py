@@ -160,6 +160,23 @@ def test_differencing():
     assert max(int(sizes[s].sum()) for s in differencing.pack(sizes, 2048)) <= 2048
 
 
+def test_differencing_decides(spark):
+    """Windows are near-equal by differencing: far fewer documents are cut than by chopping or dealing in turn."""
+    rng = np.random.default_rng(2)
+    sizes = np.minimum(rng.lognormal(6.3, 0.8, 3000).astype(np.int64) + 1, 2047)
+    windows = packing.deal(sizes, 2048)
+    loads = [sum(b - a for _, a, b in w) for w in windows]
+    assert max(loads) <= 2048 and sum(loads) == sizes.sum() >= 0.99 * 2048 * len(windows)
+    parts = {i: sorted((a, b) for w in windows for j, a, b in w if j == i) for i in range(0, 3000, 97)}
+    assert all([0, *(b for _, b in x)] == [*(a for a, _ in x), sizes[i]] for i, x in parts.items())
+    pieces = sum(map(len, windows))
+    turns = packing.level([[[i, 0, int(sizes[i])] for i in range(k, len(sizes), len(windows))] for k in range(len(windows))], 2048)
+    chopped = len(sizes) + int(sizes.sum()) // 2048
+    assert pieces - len(sizes) < 0.7 * min(sum(map(len, turns)) - len(sizes), chopped - len(sizes))
+    loose = packing.deal(sizes, 2048, padding=0.1)  # the count rises until every whole piece fits
+    assert sum(map(len, loose)) == len(sizes) and len(loose) > len(windows)
+
+
 def test_tokens(texts):
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     reference.encode_special_tokens = True
@@ -244,6 +261,71 @@ def test_cotraining_edges(spark):
     assert cotraining.score(docs.limit(0), labels).count() == 0
 
 
+def planted(n, seed):
+    """Documents whose text and whose source each tell their class, apart from one another, nearly always, but in many words and many names."""
+    rng = random.Random(seed)
+    rows, truth = [], {}
+    sites = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(48)]
+    for i in range(n):
+        y = truth[i] = int(rng.random() < 0.5)
+        told, said = (y if rng.random() < 0.97 else 1 - y for _ in range(2))
+        words = [f"{'good' if told else 'bad'}{rng.randrange(40)}" if rng.random() < 0.15 else f"w{rng.randrange(60)}" for _ in range(40)]
+        rows.append((i, " ".join(words), "en", sites[2 * rng.randrange(24) + said], 300))
+    return rows, truth
+
+
+def test_views_teach_each_other(spark):
+    """Both views give pseudo-labels, and with few labels rounds beat none."""
+    gains, kept = [], []
+    for seed in range(3):
+        rows, truth = planted(900, seed)
+        docs = spark.createDataFrame(rows, DOCS)
+        labels = spark.createDataFrame([(i, truth[i]) for i in range(24)], "doc_id long, label int")
+        features = cotraining.materialize(cotraining.featured(docs).withColumn("row", F.monotonically_increasing_id()), "features")
+        trained = cotraining.train(features, labels, rounds=3, grow=40)
+        assert all(sum(x[view, y] for x in trained.sent) > 0 for view in ("text", "meta") for y in (0, 1))
+        kept += trained.kept
+        right = [sum(r["kept"] == bool(truth[r["doc_id"]]) for r in cotraining.score(docs, labels, rounds=k, grow=40).collect()) for k in (0, 3)]
+        gains.append(right[1] - right[0])
+    assert min(gains) >= 0 and sum(gains) > 60, gains
+    assert any(a for a, _ in kept) and any(b for _, b in kept)
+
+
+def test_surest_by_brute_force(spark):
+    """One round's choice is that of all distinct rows, copies in one batch or many included."""
+    rows, truth = planted(300, 7)
+    rows += [(1000 + i, *rows[5][1:]) for i in range(900)] + [(5000 + i, *rows[9][1:]) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    features = cotraining.materialize(cotraining.featured(docs).withColumn("row", F.monotonically_increasing_id()), "features")
+    views = {(bytes(r["text_view"]), bytes(r["meta_view"])) for r in features.collect()}
+    y = np.array([truth[r[0]] for r in rows[:80]], float)
+    text = cotraining.text_features([r[1].encode() for r in rows[:80]]).astype(float)
+    meta = cotraining.meta_features([[r[k] for r in rows[:80]] for k in (3, 2, 4)]).astype(float)
+    models = [cotraining.fit(x, y, np.ones(80)) for x in (text, meta)]
+    known = frozenset(cotraining._digest(v) for v in sorted(views)[:50])
+    got = cotraining.surest(features, *models, 25, 0.6, known)
+    for view, model, j in (("text", models[0], 0), ("meta", models[1], 1)):
+        for label, base in ((0, 0.4), (1, 0.6)):
+            want = []
+            for v in views:
+                p = float(cotraining.sigmoid(model.logits(np.frombuffer(v[j], np.float16).astype(float)[None]))[0])
+                if cotraining._digest(v) not in known and (p if label else 1 - p) > base:
+                    want.append((-(p if label else 1 - p), cotraining._digest(v)))
+            want = sorted(want)[:25]
+            mine = [g for g in got if (g.view, g.label) == (view, label)]
+            assert len(mine) == len(want) > 5 and np.allclose([-g.score for g in mine], [w[0] for w in want])
+            border = want[-1][0] + 1e-9
+            assert {w[1] for w in want if w[0] < border - 1e-6} <= {g.digest for g in mine}
+
+
+def test_cotraining_other_columns(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} text {i}", None if i == 3 else f"h{i % 2}.example", float(i), "t", 1, "x" * 9) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, site string, rank double, text_view string, row int, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    got = cotraining.score(docs, labels, meta=("site", "rank"), rounds=1, grow=3).collect()
+    assert sum(r["kept"] == bool(r["doc_id"] % 2) for r in got) >= 58
+
+
 # 5: secrets
 
 
@@ -657,7 +739,7 @@ def test_bundle():
     bundle, kept = warc.Bundle(1000), {}
     for i in range(50):
         rid, data = warc.record_id("u", i, 0), bytes([i]) * (i * 13)
-        kept[rid] = warc.record("response", rid, "u", i, "D", data, None, len(data))
+        kept[rid] = warc.record("response", rid, "u", i, "D", data, len(data))
         bundle.add(rid, kept[rid])
     data = bundle.close()
     reader = warc.Reader(data)
@@ -686,6 +768,40 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, path + "3").count() == 0
 
 
+def test_hostile_urls(spark, tmp_path):
+    urls = ["http://a/\r\n\r\nbody", "http://a/x\r\nX-Page-ID: 9", " http://a/ b\t", "http://a/\x85\u2028\x00é%20", "http://a/:b: c"]
+    pages = spark.createDataFrame([(i, u, "same" if i < 3 else f"p{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/u"
+    warc.write(pages, path)
+    got = {r["page_id"]: r for r in warc.read(spark, path).collect()}
+    assert {i: r["url"] for i, r in got.items()} == {i: warc.uri(u) for i, u in enumerate(urls)}
+    assert got[3]["url"] == "http://a/%C2%85%E2%80%A8%00é%20" and bytes(got[3]["payload"]) == b"p3"
+    assert [got[i]["refers_to"] for i in range(5)] == [2, 2, None, None, None]
+    assert got[0]["refers_to_record"] == got[2]["record_id"]
+
+
+def test_copies_in_parts(spark, tmp_path):
+    """What a broadcast gives, joins of dealt copies give; rows of no file keep their ids too."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("case when id % 3 = 0 then 'hot' else concat('p', id % 700) end").alias("html"))
+    pages = pages.repartition(7, F.rand())
+    kinds = []
+    for k, how in enumerate(({}, {"broadcast_bytes": 0, "part_rows": 50})):
+        warc.write(pages, f"file://{tmp_path}/{k}", **how)
+        rows = warc.read(spark, f"file://{tmp_path}/{k}").collect()
+        responses = {r["record_id"]: r for r in rows if r["record_type"] == "response"}
+        assert len(rows) == 3000 and all(responses[r["refers_to_record"]]["page_id"] == r["refers_to"] for r in rows if r["record_type"] == "revisit")
+        kinds.append({(r["page_id"], r["record_type"], r["refers_to"]) for r in rows})
+    assert kinds[0] == kinds[1] and sum(r[1] == "response" for r in kinds[0]) == 1 + len({i % 700 for i in range(3000) if i % 3})
+
+
+def test_long_payload(spark, tmp_path):
+    page = "x" * (10 << 20) + "é"
+    pages = spark.createDataFrame([(1, "u", page), (2, "v", page)], "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/l")
+    got = {r["page_id"]: r for r in warc.read(spark, f"file://{tmp_path}/l").collect()}
+    assert bytes(got[2]["payload"]).decode() == page and got[1]["refers_to"] == 2 and got[1]["payload_bytes"] == len(page.encode())
+
+
 # The pipeline
 
 
