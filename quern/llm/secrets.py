@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -247,8 +249,12 @@ def scan(text: str | None, least: float = 0.6) -> list[Span]:
         return []
     found = base_spans(text)
     if "=" in text or ":" in text:
-        covered = [(s.start, s.end) for s in found]
-        found += [s for s in literal_spans(text, least) if not any(a <= s.start and s.end <= b for a, b in covered)]
+        base = sorted(found, key=lambda s: s.start)
+        starts, reach = [s.start for s in base], list(accumulate((s.end for s in base), max))
+        for s in literal_spans(text, least):
+            before = bisect_right(starts, s.start)
+            if before == 0 or reach[before - 1] < s.end:
+                found.append(s)
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
@@ -258,8 +264,9 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Stru
 def with_spans(docs: DataFrame, text: str = "text", out: str = "spans", least: float = 0.6) -> DataFrame:
     """``docs`` with an array column of (kind, start, end) of the whole text.
 
-    A null or empty text has no spans.  Each row stands for itself: repeated rows and null ids
-    stay.  An empty table gives an empty result; other columns pass through.
+    A null or empty text has no spans.  A very long text is scanned whole.  Spans of one start
+    come in the order of KINDS, then the shorter first.  Each row stands for itself: repeated rows
+    and null ids stay.  An empty table gives an empty result; other columns pass through.
     """
     docs = docs.drop(out)  # one of that name is replaced
     schema = T.StructType([*docs.schema.fields, T.StructField(out, _SPANS)])
