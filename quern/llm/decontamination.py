@@ -5,8 +5,9 @@ Where as many different seeds of one item meet in a stretch of a document as any
 the wanted score must have, the item's words are aligned with that stretch, so copies with
 words changed, added or left out are scored too, and none that scores enough is passed over.
 
-The test set is the stated query set: it is read in blocks of at most ``block_bytes`` of text,
-each of which is broadcast (so bounded by that parameter) and compared with all documents.
+The test set is the stated query set: it is read in blocks of at most ``block_bytes`` of text.
+One block at a time is on the driver and broadcast (so bounded by that parameter), and compared
+with all documents; between blocks, documents and hits are written.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.alignment import smith_waterman
 from quern.llm.vectext import Words, as_bytes, groups
+from quern.scratch import materialize
 
 N = 3
 LEAST_SCORE = 0.5
@@ -162,14 +165,15 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], edges)), np.concatenate((edges, [len(sorted_keys)]))
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The items, as many blocks as keep each within ``block_bytes`` (or at one item)."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[bool, list[tuple[int | None, bytes]]]]:
+    """Whether it is the last, and the items, of as many blocks as keep each within
+    ``block_bytes`` (or at one item)."""
     sized = benchmark.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = sized.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
     count = -(-2 * total // block_bytes) if total > block_bytes else 1
     for k in range(count):
         rows = sized if count == 1 else sized.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(count)) == k)
-        yield [(r["item_id"], bytes(r["text"])) for r in rows.collect()]
+        yield k == count - 1, [(r["item_id"], bytes(r["text"])) for r in rows.collect()]
 
 
 _HITS = T.ArrayType(
@@ -183,28 +187,32 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: st
     """``docs`` with an array of (item_id, score, start, end): the test items that the text
     holds, with the best alignment's score and place in words.
 
-    Items of fewer than three words are not sought.  Equal items are all named.  Null and
-    empty texts hold nothing.  Each row stands for itself: repeated rows and null ids stay.
-    Without items, or documents, there are no hits; other columns pass through.
+    Items of fewer than three words are not sought.  Equal items are all named; of alignments of
+    one score the first counts.  Null and empty texts hold nothing; a very long text is searched
+    whole.  Each row stands for itself: repeated rows and null ids stay.  Without items, or
+    documents, there are no hits; other columns pass through.
     """
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
     docs = docs.drop(out)  # one of that name is replaced
+    names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(out, _HITS)])
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark.select(F.col("item_id").cast("long"), "text"), block_bytes)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Seeds | None] = [Seeds(blocks[0].value, least=least)] if len(blocks) == 1 else [None] * len(blocks)
-        for batch in batches:
-            texts = as_bytes(batch.column(text))
-            found: list[list[dict]] = [[] for _ in texts]
-            for seeds, block in zip(held, blocks, strict=True):
-                seeds = seeds or Seeds(block.value, least=least)
+    for last, items in _blocks(benchmark.select(F.col("item_id").cast("long"), "text"), block_bytes):
+        block = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
+            seeds = Seeds(block.value, least=least)
+            for batch in batches:
+                texts = as_bytes(batch.column(text))
+                found = batch.column(out).to_pylist() if out in batch.schema.names else [[] for _ in texts]
                 for h in seeds.find(texts, least):
                     found[h.text] += [{"item_id": i, "score": h.score, "start": h.start, "end": h.end} for i in seeds.ids[h.item]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, kind)], [*names, out])
 
-    return docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, schema)
+        if not last:
+            docs = materialize(docs, "hits")
+            block.unpersist()
+    return docs
 
 
 def op6_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
