@@ -107,6 +107,7 @@ TEXTS: list[tuple[str, str]] = [
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from quern.llm.decontamination import fold
 from quern.llm.license_texts import TEXTS
 from quern.llm.patience import align
-from quern.llm.vectext import Words, as_bytes, groups, ngram_keys
+from quern.llm.vectext import Rolling, Words, as_bytes, groups
 
 N, LEAST, SHORT = 3, 0.75, 15
 
@@ -39,7 +39,7 @@ class Templates:
         words = Words([fold(t.encode()) for _, t in texts])
         hashes = words.hashes()
         self.words = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        keys = ngram_keys(hashes, N)
+        keys = Rolling(hashes).keys(N)
         at = np.flatnonzero(words.of[: len(keys)] == words.of[N - 1 :])
         order = np.argsort(keys[at], kind="stable")
         self.keys, self.of, self.place = keys[at][order], words.of[at][order], (at - words.first[words.of[at]])[order]
@@ -55,7 +55,7 @@ class Templates:
     def _scan(self, texts: list[bytes], least: float, out: list[list[Found]]) -> None:
         words = Words([fold(t) for t in texts])
         hashes = words.hashes()
-        keys = ngram_keys(hashes, N)
+        keys = Rolling(hashes).keys(N)
         at = np.flatnonzero(self.filter[keys >> np.uint64(44)])
         at = at[words.of[at] == words.of[at + N - 1]]
         low, high = np.searchsorted(self.keys, keys[at]), np.searchsorted(self.keys, keys[at], "right")
@@ -79,20 +79,21 @@ class Templates:
         aligned by runs that agree, give or take half a length: copies with much put in."""
         item = self.words[template]
         size = len(item)
-        if size <= SHORT:
-            begins = {d for d, _ in hits if first <= d and d + size <= last}
-            return [self._found(template, size, d - first, d + size - first) for d in sorted(begins) if np.array_equal(hashes[d : d + size], item)]
-        need, slack = least * size, size // 2
+        short = size <= SHORT
+        need, slack = size if short else least * size, size // 4 if short else size // 2
         if last - first < need:
             return []
         found: list[Found] = []
         for d in _peaks(np.array([d for d, _ in hits], np.int64), size):
             k = bisect_left(found, d + slack - first, key=lambda f: f.start)
             low, high = first + found[k - 1].end if k else first, first + found[k].start if k < len(found) else last
-            for wide in (size // 16, size // 4, slack):
-                if got := self._aligned(template, hashes, max(low, d - wide), min(high, d + size + wide), first, need):
+            for wide in (0, slack) if short else (size // 16, size // 4, slack):
+                got = self._aligned(template, hashes, max(low, d - wide), min(high, d + size + wide), first, need)
+                if got and (not short or got.end - got.start <= size + slack):
                     found.insert(k, got)
                     break
+        if short:
+            return found
         ends = np.array([first + f.end for f in found], np.int64)
         runs: list[list[int]] = []
         before = -1
@@ -161,8 +162,10 @@ _FOUND = T.ArrayType(
 def with_licenses(docs: DataFrame, text: str = "text", out: str = "licenses", texts: list[tuple[str, str]] = TEXTS, least: float = LEAST) -> DataFrame:
     """``docs`` with an array of (license, coverage, start, end), places in words.
 
-    Templates of up to 15 words must be there word by word, longer ones covered to ``least``.  Null and
-    empty texts hold none.  Each row stands for itself: repeated rows and null ids stay.  An
+    All templates are aligned.  Of one of up to 15 words every word must be matched, with no
+    more than a quarter as many put in between; longer ones must be covered to ``least``.  Of
+    spans that overlap the longest cover counts, of equal ones the first by name.  Null and empty
+    texts hold none; a very long text is scanned whole.  Each row stands for itself: repeated rows and null ids stay.  An
     empty table gives an empty result; other columns pass through.
     """
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

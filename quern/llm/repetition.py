@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.names import fresh
-from quern.llm.vectext import Words, as_bytes, groups, ngram_keys
+from quern.llm.vectext import Rolling, Words, as_bytes, groups
 
 #: Largest part of a text's word characters inside n-grams that repeat an earlier one, by n
 #: (fixed values: thresholds published for web-text filtering).
@@ -75,7 +75,7 @@ def _measure(texts: list[bytes], out: dict[str, np.ndarray]) -> None:
         return
     chars = words.code_points()
     out["word_chars"][:] = per_text(chars)
-    hashes = words.hashes()
+    rolling = Rolling(words.hashes())
     # A longer n-gram can only repeat where the shortest that begins with it does.
     at = np.arange(total)
     for n in COVERAGE:
@@ -83,7 +83,7 @@ def _measure(texts: list[bytes], out: dict[str, np.ndarray]) -> None:
         at = at[words.of[at] == words.of[at + n - 1]]
         if not len(at):
             break
-        at, again = _at(at, _repeats(ngram_keys(hashes, n, at), words.of[at]))
+        at, again = _at(at, _repeats(rolling.keys(n, at), words.of[at]))
         out[f"dup_{n}gram_chars"][:] = per_text(chars * _mark(again, n, total)) / np.maximum(out["word_chars"], 1)
         if n == BASE_N:
             out["n_repeat_words"][:] = per_text(_mark(at, n, total))
@@ -135,7 +135,8 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     (columns of these names are replaced).
 
     Each row stands for itself: repeated rows and null ids are measured like others.  Null and
-    empty texts fail (no words).  An empty table gives an empty result.
+    empty texts fail (no words).  A very long text is measured whole.  A text on a threshold, as
+    of two equal shares, is kept.  An empty table gives an empty result.
     """
     rows = measured(docs, text)
     r = F.col("repetition")

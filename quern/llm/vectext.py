@@ -153,13 +153,30 @@ class Words:
         return lead[self.end] - lead[self.start]
 
 
-def ngram_keys(word_hashes: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
-    """A rolling key for the run of n words from each position of ``at`` (None: from all).
-    Runs over text borders get keys too; the caller masks those."""
-    total = max(0, len(word_hashes) - n + 1)
-    key = np.zeros(total if at is None else len(at), np.uint64)
-    for j in range(n):
-        key += word_hashes[j : j + total] if at is None else word_hashes[at + j]
-        key *= _P1
+class Rolling:
+    """Rolling keys of runs of words: a polynomial in an odd base, modulo 2^64, of their hashes.
+
+    With the sums of all words before each place, the key of any run is one subtraction and one
+    product, whatever its length; it depends on the run's words alone.  Runs over text borders
+    get keys too; the caller masks those.
+    """
+
+    def __init__(self, word_hashes: np.ndarray):
+        size = len(word_hashes)
+        powers = np.ones((2, size + 1), np.uint64)
+        for row, base in zip(powers, (int(_P1), pow(int(_P1), -1, 1 << 64)), strict=True):
+            row[1:] = base
+            np.multiply.accumulate(row, out=row)
+        self.back = powers[1]
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word_hashes * powers[0][:size], dtype=np.uint64)))
+
+    def keys(self, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        """The keys of the runs of n words from each position of ``at`` (None: from all)."""
+        if at is None:
+            at = slice(0, max(0, len(self.sums) - n))
+            key = (self.sums[n:] - self.sums[: len(self.sums) - n]) * self.back[at] if len(self.sums) > n else np.empty(0, np.uint64)
+        else:
+            key = (self.sums[at + n] - self.sums[at]) * self.back[at]
         key ^= key >> np.uint64(29)
-    return key
+        key *= _P2
+        return key ^ (key >> np.uint64(32))

@@ -403,6 +403,39 @@ def test_literals_over_lines(text, literals):
     assert not literals or "Zk3T" not in secrets.masked(text, spans) and "Zx9f" not in secrets.masked(text, spans)
 
 
+def test_secrets_of_long_texts():
+    """Ten megabytes of secrets, covered literals among them, in linear time."""
+    line = 'password = "Zx9fK2mQ8rT1aB{0}" dbPwd: "q7!Lm#92xz{0}"\n'
+    took = []
+    for n in (10_000, 40_000, 160_000):
+        text = "".join(line.format(i) for i in range(n))
+        begin = time.process_time()
+        found = Counter(s.kind for s in secrets.scan(text))
+        took.append(time.process_time() - begin)
+        assert found == {"assign": n, "literal": n}
+    assert len(text) > 8 << 20 and took[2] < 8 * took[1] + 1
+
+
+def test_planted_source_files():
+    """Of secrets in source and configuration files those that no plain pattern matches are found, and nothing else."""
+    rng = random.Random(11)
+    value = lambda: "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!%", k=20))
+    forms = [
+        'DB_PWD = "{}"', "passphrase: '{}'", "export ADMIN_CREDENTIAL='{}'", '{{"clientPassphrase": "{}"}}', "conn.setPwd = `{}`;", "X = '{}'\nauth_credential = X", "PW='{}'\nADMIN_PASSPHRASE=${{PW}}",
+    ]
+    plain = ['title = "A day at the sea"', "timeout: 30", 'public_key_id = "k1"', "for i in range(10): total += i", 'url = "https://example.org/a/b"', "// note: see the docs", 'password_hint = "first pet of your aunt"']
+    wrong = missed = 0
+    for _ in range(200):
+        secret, form = value(), rng.choice(forms)
+        lines = rng.sample(plain, 4)
+        lines.insert(rng.randrange(5), form.format(secret))
+        text = "\n".join(lines)
+        found = [text[s.start : s.end] for s in secrets.scan(text)]
+        missed += not any(secret in f for f in found)
+        wrong += sum(secret not in f for f in found)
+    assert missed <= 4 and wrong == 0
+
+
 def test_redaction(spark):
     rows = [(1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', 50), (2, None, None), (3, "", 0), (4, "plain", 5)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_chars long, spans string")
@@ -483,6 +516,15 @@ def test_leak_edges(spark):
     assert decontamination.with_hits(docs.limit(0), items).count() == 0
 
 
+def test_leaks_in_long_texts():
+    item = "the quick brown fox jumps over the lazy dog near the old stone bridge tonight"
+    seeds = decontamination.Seeds([(1, item.encode())])
+    for text in (("w1 w2 w3 " * 1_200_000) + item, f"{item} " * 140_000):
+        begin = time.process_time()
+        assert [h.score for h in seeds.find([text.encode()], 0.5)] == [1.0] and len(text) > 10 << 20
+        assert time.process_time() - begin < 60
+
+
 # 7: quality rules
 
 
@@ -506,6 +548,70 @@ def test_quality_rules(spark, sf_dir, texts):
         assert r["base_failed"] == failed and not (failed and r["kept"])
 
 
+def coverages(t):
+    """The rules' verdict by plain counting."""
+    words = WORD.findall(t)
+    size, over = sum(map(len, words)), False
+    for n, most in repetition.COVERAGE.items():
+        grams, seen, inside = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)], set(), set()
+        for i, g in enumerate(grams):
+            if g in seen:
+                inside.update(range(i, i + n))
+            seen.add(g)
+        over |= sum(len(words[i]) for i in inside) / max(size, 1) > most
+    lines, seen, again = [x.encode() for x in t.split("\n") if x.strip(" \t\n\v\f\r")], set(), 0
+    for x in lines:
+        again += len(x) * (x in seen)
+        seen.add(x)
+    over |= again > repetition.DUP_LINE_CHARS * sum(map(len, lines))
+    n_words, _, symbols, _, repeated = base_counts(t)
+    return not (n_words < 10 or 100 * repeated > 20 * n_words or over or symbols > repetition.SYMBOLS * n_words)
+
+
+def test_kept_by_brute_force(spark):
+    """The whole verdict, also where only repeated n-grams or only repeated lines decide."""
+    rng = random.Random(6)
+    fresh = lambda k: [f"v{rng.randrange(10**6)}" for _ in range(k)]
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    planted = []
+    for k in range(60):
+        copy = fresh(10 + k % 3)
+        planted.append(" ".join([w for _ in range(2 + k % 5) for w in [*copy, *fresh(48)]] + fresh(40)))  # a passage several times
+        line = " ".join(fresh(4))
+        planted.append("\n".join(x for _ in range(1 + k % 7) for x in (" ".join(fresh(7)), line)))  # a short line, parted
+    docs = spark.createDataFrame(list(enumerate([*rows, *planted])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repetition.quality_rules(docs).collect()}
+    want = [coverages(t) for t in [*rows, *planted]]
+    assert [got[i]["kept"] for i in range(len(want))] == want
+    mine = [got[i] for i in range(len(rows), len(want))]
+    longer = [r for r in mine if not r["kept"] and not r["base_failed"]]
+    assert len(longer) >= 10 and sum(r["kept"] for r in mine) >= 10
+
+
+def test_rolling_keys():
+    """A key depends on its run's words alone, wherever it stands."""
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 63, 50, np.uint64)[rng.integers(0, 5, 4000)]
+    rolling = vectext.Rolling(hashes)
+    for n in (1, 2, 5, 10):
+        runs = {}
+        for i, k in enumerate(rolling.keys(n).tolist()):
+            assert runs.setdefault(tuple(hashes[i : i + n]), k) == k
+        assert len(set(runs.values())) == len(runs)
+        at = np.array([0, 7, 3990])
+        assert rolling.keys(n, at).tolist() == rolling.keys(n)[at].tolist()
+    assert len(vectext.Rolling(hashes[:3]).keys(4)) == len(vectext.Rolling(hashes[:0]).keys(1)) == 0
+
+
+def test_measure_of_long_texts():
+    words = [f"w{i}" for i in range(600_000)]
+    text = " ".join(words + words[:150_000]).encode() * 2
+    begin = time.process_time()
+    m = repetition.measure([text])
+    assert m["n_words"][0] == 1_499_999 and m["dup_5gram_chars"][0] > 0.5 and len(text) > 10 << 20
+    assert time.process_time() - begin < 60
+
+
 def test_longer_ngrams():
     words = [f"w{i}" for i in range(30)]
     text = " ".join(words + words[:8] + ["end"])
@@ -725,6 +831,52 @@ def test_whole_licenses(name):
     assert [(f.license, f.coverage, f.end - f.start) for f in found] == [(name, 1.0, size)] * 2
 
 
+def test_edited_licenses():
+    """Copies with words changed, put in, left out and wrapped as comments, which no search for the words finds."""
+    rng, templates = random.Random(12), licenses.Templates(licenses.TEXTS)
+    long = [(n, t) for n, t in licenses.TEXTS if len(t.split()) > licenses.SHORT]
+    found = total = exact = 0
+    for name, text in long:
+        for share in (0.03, 0.08, 0.12):
+            words = []
+            for w in text.split():
+                if rng.random() >= share:
+                    words.append(w)
+                elif rng.random() < 0.6:
+                    words += [f"e{rng.randrange(1000)}"] * rng.choice([1, 1, 2])
+            lines = [" ".join(words[i : i + 11]) for i in range(0, len(words), 11)]
+            wrapped = rng.choice(["/*\n * {}\n */", "# {}", "// {}", "<!--\n{}\n-->"]).format("\n # ".join(lines))
+            around = " ".join(f"x{rng.randrange(500)}" for _ in range(60))
+            got = templates.scan([f"{around}\n{wrapped}\n{around}".encode()], 0.75)[0]
+            plain = " ".join(licenses.fold(text.encode()).decode().split())
+            exact += plain in " ".join(licenses.fold(wrapped.encode()).decode().split())
+            found += any(f.license == name for f in got)
+            total += 1
+    assert found >= 0.9 * total and exact < 0.2 * total, (found, exact, total)
+
+
+def test_notices_with_words_put_in():
+    templates = licenses.Templates(licenses.TEXTS)
+    names = lambda t: [f.license for f in templates.scan([t.encode()], 0.75)[0]]
+    assert names("x y z Released under the permissive MIT License. a b c") == ["MIT"]
+    assert names("Released under the Expat License.") == [] and names("Released, as we said at some length, under the MIT license") == []
+    assert names("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
+    assert names("This work is licensed under the GNU Affero General Public License, version 3.") == ["AGPL-3.0"]
+
+
+def test_licenses_in_long_texts():
+    templates = licenses.Templates(licenses.TEXTS)
+    mit = dict(reversed(licenses.TEXTS))["MIT"]
+    took = []
+    for n in (2_000, 8_000):
+        begin = time.process_time()
+        found = templates.scan([("Released under the MIT License. some words " * n + mit).encode()], 0.75)[0]
+        took.append(time.process_time() - begin)
+        assert len(found) == n + 1
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_license_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, "", 1), (None, "released UNDER the\n* mit license", 1)], "doc_id long, text string, licenses int")
     got = licenses.with_licenses(docs).collect()
