@@ -51,7 +51,7 @@ def catalogue(
     own = entries.where("kind <> 'hardlink'")
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), F.col("kind"))
     moded = own.withColumn("full_mode", compose_mode(F.col("kind"), F.col("mode")))
-    numbered = materialize(scans.renumber(moded, rank, "seq", "inode_num", len(set(RANK.values()))).drop("content"), "inodes")
+    numbered = materialize(scans.renumber(moded.drop("content"), rank, "seq", "inode_num", len(set(RANK.values()))), "inodes")
 
     out: dict[str, DataFrame] = {}
     coded = numbered
@@ -112,6 +112,16 @@ def catalogue(
     return out
 
 
+def block_size(c: dict[str, DataFrame]) -> int:
+    """The block size of the catalogue ``c``."""
+    return c["options"].first()["block_size"]
+
+
+def root(c: dict[str, DataFrame]) -> DataFrame:
+    """The one inode of the catalogue's root directory, to which new entries can be added."""
+    return c["inodes"].join(c["dir_entries"].where("entry_idx = 0").select("inode_num"), "inode_num")
+
+
 def tally(c: dict[str, DataFrame]) -> dict[str, int]:
     """Where each kind begins among the inode numbers, from the sizes of the tables."""
     count = lambda t: c[t].count()

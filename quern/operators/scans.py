@@ -1,7 +1,8 @@
 """Prefix scans over a global order, deltas, runs, islands and dictionaries.
 
-A window without PARTITION BY runs in one task.  Here an order is cut into ``buckets`` value
-ranges: each is scanned by itself, and what comes before it is a scan over one row a bucket.
+A window without PARTITION BY runs in one task.  Here an order is cut into ranges of about as
+many rows each, which are written: each is scanned by itself, and what comes before it is a scan
+over one row a range.
 """
 
 from __future__ import annotations
@@ -11,14 +12,13 @@ from pyspark.sql import functions as F
 
 from quern.scratch import materialize
 
-BUCKETS = 4096
 
-
-def bucketed(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with a column ``bucket`` that rises with the integer column ``key``."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = 1 if low is None else (high - low) // buckets + 1
-    return df.withColumn("bucket", F.expr(f"cast(({key} - {low or 0}) div {width} as long)"))
+def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with a column ``bucket`` that rises with ``key``, whose rows are dealt evenly
+    however the key's values lie; rows of one value share a bucket.  There are ``buckets``, or as
+    many as Spark sees fit."""
+    ranged = df.repartitionByRange(buckets, key) if buckets else df.repartitionByRange(key)
+    return materialize(ranged.withColumn("bucket", F.spark_partition_id().cast("long")), "buckets")
 
 
 def before(df: DataFrame, value: Column) -> DataFrame:
@@ -28,20 +28,20 @@ def before(df: DataFrame, value: Column) -> DataFrame:
     return sums.select("bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).cast("long").alias("base"))
 
 
-def prefix_sum(df: DataFrame, key: str, value: Column, out: str, inclusive: bool = True, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with the running sum of ``value`` in the order of the unique integer ``key``."""
+def prefix_sum(df: DataFrame, key: str, value: Column, out: str, inclusive: bool = True, buckets: int | None = None) -> DataFrame:
+    """``df`` with the running sum of ``value`` in the order of the unique ``key``."""
     cut = bucketed(df, key, buckets)
     inside = Window.partitionBy("bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("base") + F.sum(value).over(inside) - (F.lit(0) if inclusive else value)
     return cut.join(before(cut, value), "bucket").withColumn(out, total.cast("long")).drop("bucket", "base")
 
 
-def positions(df: DataFrame, key: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with its 0-based position in the order of the unique integer ``key``."""
+def positions(df: DataFrame, key: str, out: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with its 0-based position in the order of the unique ``key``."""
     return prefix_sum(df, key, F.lit(1), out, inclusive=False, buckets=buckets)
 
 
-def previous(df: DataFrame, key: str, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+def previous(df: DataFrame, key: str, value: str, out: str, buckets: int | None = None) -> DataFrame:
     """``df`` with ``value`` of the row before in the order of ``key``; null for the first."""
     cut = bucketed(df, key, buckets)
     lasts = cut.groupBy("bucket").agg(F.max_by(value, key).alias("last"))

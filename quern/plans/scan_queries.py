@@ -56,14 +56,17 @@ def w05_pack(spark: SparkSession, d: str) -> DataFrame:
     return scans.pack_runs(table(spark, d, "lineitem"), "l_suppkey")
 
 
-@query("w06_string_slices", "SELECT n_nationkey, n_name AS slice FROM nation")
+@query("w06_string_slices", "SELECT p_partkey, p_name AS slice FROM part")
 def w06(spark: SparkSession, d: str) -> DataFrame:
-    """Names cut again out of the one buffer that holds them all (a string table's)."""
-    nations = table(spark, d, "nation").withColumn("bytes", F.octet_length("n_name").cast("long"))
-    placed = scans.prefix_sum(nations, "n_nationkey", F.col("bytes"), "start", inclusive=False)
-    buffer = nations.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"]), "").cast("binary").alias("buffer"))
-    cut = F.substring(F.col("buffer"), (F.col("start") + 1).cast("int"), F.col("bytes").cast("int")).cast("string")
-    return placed.crossJoin(F.broadcast(buffer)).select("n_nationkey", cut.alias("slice"))
+    """Names cut again out of a string table's buffer, which is kept in parts of as many rows:
+    each slice meets the part that holds it."""
+    names = scans.bucketed(table(spark, d, "part").select("p_partkey", "p_name", F.octet_length("p_name").cast("long").alias("bytes")), "p_partkey")
+    total = scans.prefix_sum(names.select("p_partkey", "bytes", F.col("bucket").alias("part")), "p_partkey", F.col("bytes"), "start", inclusive=False)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]), "").cast("binary")
+    buffers = names.groupBy(F.col("bucket").alias("part")).agg(text.alias("buffer"))
+    begins = total.groupBy("part").agg(F.min("start").alias("begin"))
+    cut = F.substring(F.col("buffer"), (F.col("start") - F.col("begin") + 1).cast("int"), F.col("bytes").cast("int")).cast("string")
+    return total.join(buffers.join(begins, "part"), "part").select("p_partkey", cut.alias("slice"))
 
 
 @query("w07_section_offsets", "SELECT o_orderkey, (sum(64 + o_custkey) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - 64 - o_custkey)::BIGINT AS section_offset FROM orders")

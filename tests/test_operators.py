@@ -121,6 +121,19 @@ def test_empty_ranges_give_no_rows(spark):
     assert {tuple(r) for r in chunks.file_sizes(files, spark.createDataFrame([(2, 5)], "id long, size long"), "id", "size").collect()} == {(1, 0, 0), (2, 5, 1), (3, 0, 0)}
 
 
+def test_buckets_hold_as_many_rows(spark):
+    """Keys that lie far apart are dealt evenly: no task has over twice the mean."""
+    keys = spark.range(11).unionByName(spark.range(10**9, 10**9 + 40_000)).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in scans.bucketed(keys, "k", 16).groupBy("bucket").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = scans.prefix_sum(keys, "k", F.col("v"), "s").where("k = 10 or k = 1000000000 or k = 1000039999").orderBy("k").collect()
+    assert [r["s"] for r in got] == [11, 12, 40_011]
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 1000])
 def test_scans_over_buckets(spark, buckets):
     rows = spark.createDataFrame([(k * k, k % 5) for k in range(50)], "k long, v long")
