@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from typing import Any
 
 import numpy as np
@@ -27,6 +28,9 @@ class Image:
             raise ImageError("missing_section", "missing section SECTION_INDEX")
         self.index = section.scan_index(read, length, self.limits["section_index_size_limit"], start) if index is None else index
         self._metadata: dict[str, Any] | None = None
+        #: Blocks read last, the latest at the end, and how often one was read from the file.
+        self._blocks: OrderedDict[int, bytes] = OrderedDict()
+        self._held = self.block_reads = 0
 
     def unique(self, kind: int, name: str) -> int:
         places = [offset for k, offset in self.index if k == kind]
@@ -40,6 +44,11 @@ class Image:
     def headers(self) -> list[section.Header]:
         return [section.read_header(self.read, self.start + offset) for _, offset in self.index]
 
+    def catalogue_bytes(self) -> int:
+        """Stored bytes of the catalogue and the section index, at least 1."""
+        sizes = [section.read_header(self.read, self.start + offset).size for kind, offset in self.index if kind == section.METADATA]
+        return sum(sizes) + 8 * len(self.index) or 1
+
     @property
     def metadata(self) -> dict[str, Any]:
         if self._metadata is None:
@@ -48,10 +57,30 @@ class Image:
             self._metadata = unpack(frozen.decode(schema, get(section.METADATA, "METADATA_V2", "metadata_size_limit")))
         return self._metadata
 
-    def block(self, number: int) -> bytes:
+    def block(self, number: int, block_size: int | None = None) -> bytes:
+        """A block's bytes.  ``block_size``, where it is known, spares reading the catalogue.
+
+        Blocks read last are kept, up to ``block_cache_size_limit`` bytes in all."""
+        if number in self._blocks:
+            self._blocks.move_to_end(number)
+            return self._blocks[number]
         if not number < len(self.index) or self.index[number][0] != section.BLOCK:
             raise ImageError("section_type", f"section {number} is no block")
-        return self.section(number, int(self.metadata["block_size"]))[1]
+        data = self.section(number, int(self.metadata["block_size"]) if block_size is None else block_size)[1]
+        self.block_reads += 1
+        if len(data) <= self.limits["block_cache_size_limit"]:
+            self._blocks[number] = data
+            self._held += len(data)
+            while self._held > self.limits["block_cache_size_limit"]:
+                self._held -= len(self._blocks.popitem(last=False)[1])
+        return data
+
+    def chunk(self, number: int, offset: int, size: int) -> bytes:
+        """Bytes of a block, through the kept blocks."""
+        data = self.block(number)[offset : offset + size]
+        if len(data) < size:
+            raise ImageError("chunk", f"a chunk exceeds section {number}")
+        return data
 
 
 def strings(table: dict[str, Any] | None, loose: list[bytes]) -> list[str]:

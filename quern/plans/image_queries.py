@@ -349,24 +349,6 @@ def c15(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", "text").mapInArrow(run, "doc_id long, algo int, digest string")
 
 
-@query("f07_checksums", "SELECT doc_id, true AS intact, true AS damage_found FROM documents WHERE text <> ''")
-def f07(spark: SparkSession, d: str) -> DataFrame:
-    """Both checksums hold, and find a changed byte."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            intact, found = [], []
-            for text in batch.column(1).to_pylist():
-                sealed = bytearray(section.seal(3, section.BLOCK, text.encode()))
-                header, payload = section.parse_header(bytes(sealed)), bytes(sealed[64:])
-                intact.append(section.fast_hash(header, payload) == header.fast and section.slow_hash(header, header.fast, payload) == header.slow)
-                hurt = bytes([payload[0] ^ 1]) + payload[1:]
-                found.append(section.fast_hash(header, hurt) != header.fast and section.slow_hash(header, header.fast, hurt) != header.slow)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(intact), pa.array(found)], ["doc_id", "intact", "damage_found"])
-
-    return _docs(spark, d).where("text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id long, intact boolean, damage_found boolean")
-
-
 @query("x03_cdc_chunks", f"SELECT doc_id, {_BYTES}::BIGINT AS bytes, sha256(text) AS digest, true AS in_bounds FROM documents WHERE text <> ''")
 def x03(spark: SparkSession, d: str) -> DataFrame:
     """Content-defined chunks, joined again, and their bounds."""
@@ -385,7 +367,7 @@ def x03(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _image(spark: SparkSession, d: str) -> tuple[str, dict[str, DataFrame]]:
-    path = new_path(spark, "image").removeprefix("file://") + ".img"
+    path = new_path(spark, "image") + ".img"
     nodes = materialize(virtual.entries(_docs(spark, d), content=True), "entries")
     return path, write_image(nodes, path, 256 << 10)
 
@@ -408,21 +390,3 @@ def a09(spark: SparkSession, d: str) -> DataFrame:
     whole = _docs(spark, d).select("doc_id").join(chunks.reassemble(pieces, "doc_id"), "doc_id", "left")
     content = F.coalesce("content", F.lit(""))
     return whole.select("doc_id", F.octet_length(content).cast("long").alias("size"), F.md5(content).alias("digest"))
-
-
-@query("s15_section_types", "SELECT 'METADATA_V2' AS section_type, 1 AS n UNION ALL SELECT 'METADATA_V2_SCHEMA', 1 UNION ALL SELECT 'SECTION_INDEX', 1")
-def s15(spark: SparkSession, d: str) -> DataFrame:
-    """The sections of a written image that are no blocks, from its index."""
-    path, _ = _image(spark, d)
-    sections = read_table(spark, path, "sections", section_index="use_embedded")
-    return sections.where("section_type > 0").groupBy(C.section_type_name(F.col("section_type")).alias("section_type")).agg(F.count("*").cast("int").alias("n"))
-
-
-@query("a07_compression_ratio", "SELECT true AS smaller, true AS saved")
-def a07(spark: SparkSession, d: str) -> DataFrame:
-    """A written image is smaller than its files, and stores equal chunks once."""
-    path, c = _image(spark, d)
-    stored = read_table(spark, path, "sections").agg(F.sum("payload_size").alias("stored"))
-    total = _docs(spark, d).agg(F.sum(F.octet_length("text")).alias("total"))
-    unique = read_table(spark, path, "blocks").agg(F.sum(F.length("data")).alias("unique"))
-    return stored.crossJoin(total).crossJoin(unique).select((F.col("stored") < F.col("total")).alias("smaller"), (F.col("unique") < F.col("total")).alias("saved"))

@@ -8,8 +8,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.model import ENTRIES, ImageError
+from quern.operators import scans
+from quern.scratch import materialize
 
 _KINDS = ((stat.S_ISDIR, "dir"), (stat.S_ISREG, "file"), (stat.S_ISLNK, "symlink"), (stat.S_ISBLK, "blkdev"), (stat.S_ISCHR, "chardev"), (stat.S_ISFIFO, "fifo"), (stat.S_ISSOCK, "socket"))
 
@@ -25,37 +28,53 @@ def kind_of(mode: int) -> str:
     return next(name for test, name in _KINDS if test(mode))
 
 
-def walk(root: str) -> list[tuple[int, int | None, str, str]]:
-    """(seq, parent_seq, name, path), parents before children, names in order of bytes; names
-    that aren't UTF-8 are repaired."""
-    rows, ahead = [(0, None, "", root)], [(0, root)]
-    while ahead:
-        parent, folder = ahead.pop()
-        for name in sorted(os.listdir(os.fsencode(folder))):
-            path = os.path.join(os.fsencode(folder), name)
-            seq = len(rows)
-            rows.append((seq, parent, name.decode("utf-8", "replace"), os.fsdecode(path)))
-            if os.path.isdir(path) and not os.path.islink(path):
-                ahead.append((seq, os.fsdecode(path)))
-    return rows
+_LISTED = "path binary, parent binary, name string, kind string, shared string"
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the directories of ``path`` hold; ``shared`` names an inode that has several names.
+    Names that aren't UTF-8 are repaired."""
+    kinds = [pa.binary(), pa.binary(), *[pa.string()] * 3]
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            rows = []
+            for entry in os.scandir(folder):
+                status = entry.stat(follow_symlinks=False)
+                kind = kind_of(status.st_mode)
+                # The status that os.scandir gives has no link count on every system.
+                links = os.lstat(entry.path).st_nlink if kind != "dir" else 1
+                rows.append((entry.path, folder, entry.name.decode("utf-8", "replace"), kind, f"{status.st_dev}:{status.st_ino}" if links > 1 else None))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "parent", "name", "kind", "shared"])
+
+
+def names(spark: SparkSession, root: str) -> DataFrame:
+    """(seq, parent_seq, name, path, link_to) of the tree at ``root``, parents before children,
+    then by path.  Directories are listed by tasks, one level of the tree after another."""
+    top = os.fsencode(root)
+    level = spark.createDataFrame([(top, None, "", "dir", None)], _LISTED)
+    found = level.withColumn("depth", F.lit(0))
+    depth = 0
+    while level.limit(1).count():
+        depth += 1
+        listed = materialize(level.select("path").repartition("path").mapInArrow(_list, _LISTED), "listed")
+        found = found.unionByName(listed.withColumn("depth", F.lit(depth)))
+        level = listed.where("kind = 'dir'")
+    numbered = materialize(scans.ranked(found, ["depth", "path"], "seq"), "names")
+    above = numbered.select(F.col("path").alias("parent"), F.col("seq").alias("parent_seq"))
+    first = numbered.where("shared is not null").groupBy("shared").agg(F.min("seq").alias("first"))
+    linked = numbered.join(above, "parent", "left").join(first, "shared", "left")
+    return linked.select("seq", "parent_seq", "name", "path", F.when(F.col("first") != F.col("seq"), F.col("first")).alias("link_to"))
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Entries of the tree at ``root``: the driver lists names, tasks read status and contents.
+    """Entries of the tree at ``root``, all read by tasks.
 
     The tree must be mounted where the tasks run.  Further names of one inode are hard links.
     """
-    rows = walk(root)
-    seen: dict[tuple[int, int], int] = {}
-    linked = []
-    for seq, parent, name, path in rows:
-        status = os.lstat(path)
-        first = seen.setdefault((status.st_dev, status.st_ino), seq) if status.st_nlink > 1 and not stat.S_ISDIR(status.st_mode) else seq
-        linked.append((seq, parent, name, path, None if first == seq else first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for r in batch.to_pylist():
                 status = os.lstat(r["path"])
                 kind = "hardlink" if r["link_to"] is not None else kind_of(status.st_mode)
@@ -63,13 +82,11 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
                 if kind == "file":
                     with open(r["path"], "rb") as f:
                         content = f.read()
-                out.append(
-                    {k: r[k] for k in ("seq", "parent_seq", "name", "link_to")}
-                    | metadata(status)
-                    | {"kind": kind, "content": content, "target": os.readlink(r["path"]) if kind == "symlink" else None, "device_id": status.st_rdev if kind in ("blkdev", "chardev") else None}
-                )
-            yield pa.RecordBatch.from_pylist(out, schema)
+                row = {k: r[k] for k in ("seq", "parent_seq", "name", "link_to")} | metadata(status) | {"kind": kind, "content": content}
+                row["target"] = os.fsdecode(os.readlink(r["path"])) if kind == "symlink" else None
+                row["device_id"] = status.st_rdev if kind in ("blkdev", "chardev") else None
+                yield pa.RecordBatch.from_pylist([row], schema)
 
     kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "decimal(20,0)": pa.decimal128(20, 0)}
     schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in ENTRIES.fields])
-    return spark.createDataFrame(linked, "seq long, parent_seq long, name string, path string, link_to long").mapInArrow(run, ENTRIES)
+    return names(spark, root).mapInArrow(run, ENTRIES)

@@ -5,7 +5,8 @@
 
 Options: table (a name of model.TABLES, or blocks), image_offset, section_index (use_embedded,
 use_embedded_if_exists, build), verify (fast, slow, none), and the size limits of
-model.LIMITS.  ``blocks`` has a partition for each block; an equality on section_idx is pushed
+model.LIMITS.  A table of the catalogue comes in parts of
+equal rows, one for each PART_BYTES of the stored catalogue.  ``blocks`` has a partition for each block; an equality on section_idx is pushed
 down to read that block alone with the option pushdown=true, which needs
 spark.sql.python.filterPushdown.enabled (read_table sets the option where the session has it).
 """
@@ -24,6 +25,8 @@ from quern.codec import section
 from quern.codec.image import Image, table
 from quern.model import LIMITS, TABLES
 
+#: Stored bytes of the catalogue for each part in which its tables are read.
+PART_BYTES = 8 << 20
 BLOCKS = T.StructType([T.StructField("section_idx", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
@@ -54,8 +57,15 @@ class ImageSource(DataSource):
 
 
 class BlockPartition(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+    def __init__(self, number: int, block_size: int):
+        self.number, self.block_size = number, block_size
+
+
+class RowsPartition(InputPartition):
+    """Part ``number`` of ``count`` equal parts of a table's rows."""
+
+    def __init__(self, number: int, count: int):
+        self.number, self.count = number, count
 
 
 class ImageReader(DataSourceReader):
@@ -63,17 +73,22 @@ class ImageReader(DataSourceReader):
         self.options, self.wanted = options, None
 
     def partitions(self) -> list[InputPartition]:
+        image = open_image(self.options)
         if self.options.get("table") != "blocks":
-            return [InputPartition(0)]
-        index = open_image(self.options).index
-        return [BlockPartition(i) for i, (kind, _) in enumerate(index) if kind == section.BLOCK and (self.wanted is None or i in self.wanted)]
+            count = -(-image.catalogue_bytes() // PART_BYTES)
+            return [RowsPartition(i, count) for i in range(count)]
+        size = int(image.metadata["block_size"])
+        return [BlockPartition(i, size) for i, (kind, _) in enumerate(image.index) if kind == section.BLOCK and (self.wanted is None or i in self.wanted)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         image = open_image(self.options)
         if isinstance(partition, BlockPartition):
-            yield pa.RecordBatch.from_arrays([pa.array([partition.number], pa.int64()), pa.array([image.block(partition.number)], pa.binary())], ["section_idx", "data"])
-        elif self.options.get("table") != "blocks":
-            yield from table(image, self.options.get("table", "inodes")).to_batches()
+            data = image.block(partition.number, partition.block_size)
+            yield pa.RecordBatch.from_arrays([pa.array([partition.number], pa.int64()), pa.array([data], pa.binary())], ["section_idx", "data"])
+        elif isinstance(partition, RowsPartition):
+            rows = table(image, self.options.get("table", "inodes"))
+            start, end = (k * len(rows) // partition.count for k in (partition.number, partition.number + 1))
+            yield from rows.slice(start, end - start).to_batches()
 
 
 class PushingReader(ImageReader):

@@ -8,6 +8,7 @@ from typing import Any, BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,14 +147,16 @@ def write_image(
     metadata_limit: int = LIMITS["metadata_size_limit"],
     **config: object,
 ) -> dict[str, DataFrame]:
-    """Write an image of ``entries`` to a local or mounted ``path``; returns its catalogue."""
+    """Write an image of ``entries`` to ``path``, on any file system that pyarrow knows; returns
+    its catalogue."""
     parts, slices = plan(entries, block_size, chunker)
     catalogue = build.catalogue(entries, parts, block_size, **config)
     blocks = materialize(sealed_blocks(slices, algo, level), "blocks")
     schema, data = metadata_sections(metadata_value(catalogue, block_size))
     if len(data) > metadata_limit:
         raise ImageError("size_limit", f"metadata is larger than {metadata_limit} bytes")
-    with open(path.removeprefix("file://"), "wb") as out:
+    fs, name = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+    with fs.open_output_stream(name) as out:
         image = SectionFile(out)
         for row in blocks.repartitionByRange("section_number").sortWithinPartitions("section_number").toLocalIterator():
             image.append(section.BLOCK, bytes(row["sealed"]))
