@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.spread import BROADCAST_BYTES, Spread
 from quern.scratch import materialize
 
 _MODULUS = (1 << 127) - 1
@@ -71,13 +72,15 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(turns, pa.int64()), pa.array(hashes, pa.string())], ["conv_id", "turns", "hash"])
 
 
-def render(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def render(conversations: DataFrame, part_turns: int = PART_TURNS, heavy_turns: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Maximal conversations: conv_id, part, n_turns, copies, text.
 
     ``copies`` counts the conversations equal to this one, itself included.  A conversation
     of more than ``part_turns`` turns comes in parts, whose texts in order are the whole.
+    What is found of a conversation meets its turns by broadcast if it is small in all (measured),
+    otherwise in a join for which conversations of over ``heavy_turns`` turns are dealt to parts.
     Turns are ordered by turn, then the MD5 of the rendered turn where turns tie; a null turn comes first.  A
-    null role is "unknown", a null text empty; ``<|`` in a text is written ``<\\|``.  Rows
+    null role is "unknown", a null text empty, a very long one whole; ``<|`` in a text is written ``<\\|``.  Rows
     without a conv_id form one conversation; a repeated row is a repeated turn.  An empty
     table gives an empty result; other columns are ignored.
     """
@@ -107,9 +110,10 @@ def render(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     extended = seen.join(ends.select("hash", "copies"), "hash").where("times > copies").select("hash")
     maximal = ends.join(extended, "hash", "left_anti").select(F.col("conv_id").alias("c"), "n_turns", "copies")
 
-    kept = placed.join(maximal, F.col("conv_id").eqNullSafe(F.col("c"))).select(
-        "conv_id", (F.col("before") + F.col("pos")).alias("at"), "segment", "n_turns", "copies"
-    )
+    keyed = lambda df, c: df.withColumn("key", F.coalesce(F.col(c).cast("string"), F.lit("")))
+    beside = Spread(keyed(whole, "conv_id").select("key", F.col("n_turns").alias("weight")), "key", heavy_turns, broadcast_bytes)
+    met = beside.join(keyed(placed, "conv_id"), keyed(maximal, "c").drop("c"), "rolled", F.lit(16))
+    kept = met.where("n_turns is not null").select("conv_id", (F.col("before") + F.col("pos")).alias("at"), "segment", "n_turns", "copies")
     return (
         kept.groupBy("conv_id", F.expr(f"at div {part_turns}").alias("part"), "n_turns", "copies")
         .agg(F.array_sort(F.collect_list(F.struct("at", "segment"))).alias("segments"))

@@ -68,8 +68,10 @@ def test_chat_across_tasks(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         turns = [(c, t, "user", f"t{t}") for c, n in ((1, 400), (2, 399), (3, 700), (4, 10)) for t in range(n)] + [(5, t, "user", f"t{t}" if t < 500 else "z") for t in range(501)]
-        got = chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), part_turns=300).collect()
-        assert sorted((r["conv_id"], r["part"], r["text"].count("<|user|>")) for r in got) == [(3, 0, 300), (3, 1, 300), (3, 2, 100), (5, 0, 300), (5, 1, 201)]
+        log = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+        for how in ({}, {"broadcast_bytes": 0, "heavy_turns": 90}, {"broadcast_bytes": 0}):
+            got = chat.render(log, part_turns=300, **how).collect()
+            assert sorted((r["conv_id"], r["part"], r["text"].count("<|user|>")) for r in got) == [(3, 0, 300), (3, 1, 300), (3, 2, 100), (5, 0, 300), (5, 1, 201)]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
 
