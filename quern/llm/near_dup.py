@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm import shingles
 from quern.llm.names import fresh
 from quern.llm.vectext import Lanes, as_bytes, groups, xxh64
 from quern.scratch import materialize
@@ -189,16 +190,34 @@ def component_of(prints: DataFrame) -> DataFrame:
     return materialize(rooted.join(lowest, "root").select("simhash", "root", "component_id"), "members")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float | None = None) -> DataFrame:
     """``docs`` with one row for each component: that with the smallest doc_id (nulls last,
-    then the first as written, where doc_ids repeat)."""
-    fp, row = fresh(docs, "simhash"), fresh(docs, "row")
-    tagged = materialize(with_fingerprint(docs, text, fp).withColumn(row, F.monotonically_increasing_id()), "tagged")
+    then the first as written, where doc_ids repeat).
+
+    Texts are linked by fingerprints of at most two differing bits and, if ``least`` is given, by
+    a Jaccard similarity of their five-word shingles of that or more.
+    """
+    fp, row, keys = fresh(docs, "simhash"), fresh(docs, "row"), fresh(docs, "bands")
+    added = with_fingerprint(docs, text, fp).withColumn(row, F.monotonically_increasing_id())
+    tagged = materialize(added if least is None else shingles.with_bands(added, text, keys), "tagged")
     prints = tagged.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("simhash"), F.col(row).alias("row"))
-    best = prints.groupBy("simhash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    kept = (
-        best.join(component_of(prints), "simhash").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    )
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    if least is None:
+        groups_ = prints.groupBy("simhash").agg(best).join(component_of(prints), "simhash")
+    else:
+        # Equal texts have equal fingerprints and bands: they are one node, that of their best row.
+        every = tagged.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("simhash"), F.col(row).alias("row"), F.col(keys).alias("bands"))
+        nodes = materialize(every.groupBy("simhash", "bands").agg(best).withColumn("node", F.col("best.row")), "nodes")
+        texts = tagged.select(F.col(row).alias("node"), F.col(text).alias("text"))
+        first = materialize(nodes.groupBy("simhash").agg(F.min("node").alias("first")), "firsts")
+        print_links = links(first)
+        side = lambda c: first.select(F.col("simhash").alias(f"fp_{c}"), F.col("first").alias(c))
+        by_print = print_links.toDF("fp_a", "fp_b").join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b")
+        equal = nodes.join(first, "simhash").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        linked = by_print.unionByName(equal).unionByName(shingles.similar(nodes.select("node", "bands"), texts, least))
+        roots = components(linked)
+        groups_ = nodes.select("node", "best").join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
+    kept = groups_.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
     return tagged.join(kept, row, "left_semi").select(*docs.columns)
 
 

@@ -26,7 +26,7 @@ class Spread:
     def join(self, rows: DataFrame, known: DataFrame, dealt_by: str, size: Column) -> DataFrame:
         """``rows`` (left) with ``known``, one row a key, of ``size`` bytes a row beside a few of
         its own.  If that is much in all, the rows of heavy keys are dealt by ``dealt_by``."""
-        held = known.agg(F.sum(size + F.octet_length(self.key) + 16)).first()[0] or 0
+        held = known.agg(F.sum(size + F.octet_length(F.col(self.key).cast("string")) + 16)).first()[0] or 0
         if held <= self.most:
             return rows.join(F.broadcast(known), self.key, "left")
         part = F.pmod(F.xxhash64(dealt_by), F.coalesce("parts", F.lit(1))).cast("int")

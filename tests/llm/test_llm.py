@@ -17,7 +17,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm import alignment, chat, cotraining, decontamination, differencing, html_blocks, html_template, licenses, near_dup, packing, patience, registry, repetition, secrets, vectext, warc
+from quern.llm import alignment, chat, cotraining, decontamination, differencing, html_blocks, html_template, licenses, near_dup, packing, patience, registry, repetition, secrets, shingles, vectext, warc
 from quern.llm.tokens import Encoder, added_tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -147,6 +147,77 @@ def test_keep_one(spark):
     assert len(every) == len(rows) and {r["component_id"] for r in every} == {2, 3, 9, None}
 
 
+def shingle_set(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)} - {()}
+
+
+def alike(texts, least=0.8):
+    """Pairs of keys of ``texts`` whose five-word shingles are similar."""
+    sets, by = {k: shingle_set(t) for k, t in texts.items()}, {}
+    for k, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(k)
+    pairs = {(min(a, b), max(a, b)) for ks in by.values() for a in ks for b in ks if a != b}
+    return [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9]
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        i = rng.randrange(len(words))
+        words[i : i + rng.choice([0, 1, 1])] = [f"e{rng.randrange(10**6)}"] * rng.choice([0, 1, 1])
+    return words
+
+
+def test_shingles_of_texts():
+    texts = ["a b c d e f g", "A b C d e f g", "", "x y", "x  y", "x y z", " ".join(["r s t u v"] * 50), "é É é é é", "a b c d e f g"]
+    keys, counts = shingles.shingles([t.encode() for t in texts])
+    parts = [frozenset(p.tolist()) for p in np.split(keys, np.cumsum(counts)[:-1])]
+    sets = [frozenset(shingle_set(t)) for t in texts]
+    assert [len(p) for p in parts] == [len(x) for x in sets]
+    assert all((a == b) == (x == y) for a, x in zip(parts, sets, strict=True) for b, y in zip(parts, sets, strict=True))
+    found = shingles.bands([t.encode() for t in texts])
+    assert (found[0] == found[1]).all() and not found[2].any() and (found[0] == found[8]).all()
+
+
+def near_corpus():
+    """Single texts, small groups of copies around similarity 0.8, a crowd of near copies, a crowd that shares a passage."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [fresh(rng.randrange(6, 300)) for _ in range(80)]
+    for k in range(60):
+        base = fresh(rng.randrange(60, 300))
+        texts += [base, edited(rng, base, 1 + k % 8), edited(rng, base, 1 + k % 5)]
+    crowd, passage = fresh(200), fresh(55)
+    texts += [edited(rng, crowd, 2) for _ in range(120)]
+    texts += [[*fresh(30), *passage, *fresh(40)] for _ in range(60)]
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("how", [{}, {"part": 40, "broadcast_bytes": 0}])
+def test_similar_by_brute_force(spark, how):
+    texts = near_corpus()
+    docs = spark.createDataFrame(list(texts.items()), "node long, text string")
+    nodes = shingles.with_bands(docs, "text", "bands").select("node", "bands")
+    found = {(r["a"], r["b"]) for r in shingles.similar(nodes, docs, 0.8, **how).collect()}
+    want = alike(texts)
+    assert found <= set(want) and components(texts, found) == components(texts, want)
+    pairs = shingles.candidates(nodes, **how).count()
+    assert pairs < 150 * len(texts) and len(want) > 5000
+
+
+def test_keep_one_of_similar(spark):
+    texts = near_corpus()
+    rows = [(k, t) for k, t in texts.items()] + [(1000, texts[3]), (1001, None), (1002, ""), (None, texts[5]), (1003, texts[90].upper()), (1003, texts[90])]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bands int")
+    kept = near_dup.keep_one(docs, least=0.8)
+    assert kept.columns == docs.columns
+    roots = components(texts, alike(texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({*roots.values(), 1001})
+    assert near_dup.keep_one(docs.limit(0), least=0.8).count() == 0
+
+
 # 3: packing
 
 
@@ -972,7 +1043,8 @@ def test_pipeline(spark, sf_dir, texts):
             kept[d] = t
     prints = {d: fingerprint(t) for d, t in kept.items()}
     linked = [(a, b) for a in kept for b in kept if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
-    roots = components(kept, linked)
+    roots = components(kept, [*linked, *alike(kept)])  # five words, similarity 0.8
+    assert len({roots[d] for d in kept}) < len(set(components(kept, linked).values()))
     kept = {d: t for d, t in kept.items() if roots[d] == d}
     items = decontamination.Seeds([(r["item_id"], r["text"].encode()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
     leaked = {list(kept)[h.text] for h in items.find([t.encode() for t in kept.values()], 0.5)}
@@ -980,6 +1052,23 @@ def test_pipeline(spark, sf_dir, texts):
     check_pieces(corpus_pipeline.run(spark, sf_dir).collect(), {d: np.array(packed_ids(t), "<u4") for d, t in clean.items()})
 
 
+def test_pipeline_of_odd_tables(spark, sf_dir, tmp_path):
+    """Through run itself: an empty table, nulls, repeated rows, clashing columns, a very long text."""
+    import corpus_pipeline
+
+    kind = DOCS + ", row long, bands string, simhash string, hits string"
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    plain = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long, "en", "s", 9), (2, plain, None, None, None), (2, plain, None, None, None), (None, plain + " more", "en", "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0)]
+    spark.createDataFrame([(*r, 1, "b", "s", "h") for r in rows], kind).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    check_pieces(got, {1: np.array(packed_ids(long), "<u4"), 2: np.array(packed_ids(plain), "<u4")})
+
+
 def test_stages_keep_columns(spark, sf_dir):
     import corpus_pipeline
 
