@@ -356,8 +356,7 @@ def x03(spark: SparkSession, d: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = cdc.chunks(text.encode())
+            for doc_id, parts in zip(batch.column(0).to_pylist(), cdc.chunked([t.encode() for t in batch.column(1).to_pylist()]), strict=True):
                 sizes = [len(p) for p in parts]
                 bounded = all(cdc.MIN_CHUNK - 1 <= n < cdc.MAX_CHUNK for n in sizes[:-1]) and 0 < sizes[-1] <= cdc.MAX_CHUNK
                 rows.append((doc_id, sum(sizes), hashlib.sha256(b"".join(parts)).hexdigest(), bounded))

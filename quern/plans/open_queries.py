@@ -271,9 +271,9 @@ def x03_boundaries(spark: SparkSession, d: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, parts in zip(batch.column(0).to_pylist(), cdc.chunked([t.encode() for t in batch.column(1).to_pylist()]), strict=True):
                 start = 0
-                for part in cdc.chunks(text.encode()):
+                for part in parts:
                     rows.append((doc_id, start, len(part), hashlib.new("sha512_256", part).hexdigest()))
                     start += len(part)
             if rows:

@@ -29,8 +29,7 @@ def content_pieces(entries: DataFrame, chunker: str = "basic") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seq, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = cdc.chunks(content)
+            for seq, found in zip(batch.column(0).to_pylist(), cdc.chunked(batch.column(1).to_pylist()), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([seq] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())], ["seq", "idx", "piece"])
 
     return files.mapInArrow(run, "seq long, idx long, piece binary")
