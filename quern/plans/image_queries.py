@@ -320,7 +320,8 @@ def p15(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c02_fsst_roundtrip", "SELECT p_partkey, sha256(p_name) AS digest FROM part")
 def c02(spark: SparkSession, d: str) -> DataFrame:
-    """Names through a symbol table that was itself written and parsed."""
+    """All names through a symbol table that was itself written and parsed; the table is
+    trained on the first 200 of them."""
     samples = [r["p_name"].encode() for r in table(spark, d, "part").orderBy("p_partkey").select("p_name").limit(200).collect()]
     symbols = fsst.parse(fsst.to_bytes(fsst.train(samples)))
 

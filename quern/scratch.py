@@ -28,8 +28,25 @@ def root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{sc.applicationId}"
 
 
+#: Paths given out, in order.
+_given: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def given() -> int:
+    """How many paths have been given out, for ``release``."""
+    return len(_given)
+
+
+def release(spark: SparkSession, begun: int) -> None:
+    """Delete all paths given out since ``begun`` but the last, which holds the result."""
+    for path in _given[begun:-1]:
+        _delete(spark, path)
+    del _given[begun:-1]
 
 
 def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
@@ -48,6 +65,9 @@ def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
 
 def clean(spark: SparkSession) -> None:
     """Delete all that this application has left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root(spark))
+    _delete(spark, root(spark))
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
