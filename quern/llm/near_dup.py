@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from quern.llm import shingles
 from quern.llm.names import fresh
+from quern.llm.spread import lean
 from quern.llm.vectext import Lanes, as_bytes, groups, xxh64
 from quern.scratch import materialize
 
@@ -69,16 +70,21 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "simhash") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "simhash", bands: str | None = None) -> DataFrame:
     """``docs`` with a bigint column ``out`` (one of that name is replaced); null text counts
-    as empty."""
+    as empty.  ``bands`` names a column for the band keys of ``shingles``, made in the same pass:
+    a second Python stage would hold as many workers again."""
     docs = docs.drop(out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
+    more = [T.StructField(out, T.LongType())] + ([T.StructField(bands, T.ArrayType(T.LongType()))] if bands else [])
+    schema = T.StructType([*docs.schema.fields, *more])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = fingerprints(as_bytes(batch.column(text))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, out])
+            texts = as_bytes(batch.column(text))
+            columns = [*batch.columns, pa.array(fingerprints(texts).view(np.int64))]
+            if bands:
+                columns.append(shingles.as_lists(shingles.bands(texts)))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.mapInArrow(add, schema)
 
@@ -198,8 +204,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     a Jaccard similarity of their five-word shingles of that or more.
     """
     fp, row, keys = fresh(docs, "simhash"), fresh(docs, "row"), fresh(docs, "bands")
-    added = with_fingerprint(docs, text, fp).withColumn(row, F.monotonically_increasing_id())
-    tagged = materialize(added if least is None else shingles.with_bands(added, text, keys), "tagged")
+    added = with_fingerprint(docs, text, fp, None if least is None else keys)
+    tagged = materialize(added.withColumn(row, F.monotonically_increasing_id()), "tagged")
     prints = tagged.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("simhash"), F.col(row).alias("row"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     if least is None:
@@ -217,8 +223,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
         linked = by_print.unionByName(equal).unionByName(shingles.similar(nodes.select("node", "bands"), texts, least))
         roots = components(linked)
         groups_ = nodes.select("node", "best").join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
-    kept = groups_.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return tagged.join(kept, row, "left_semi").select(*docs.columns)
+    kept = materialize(groups_.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)), "kept")
+    return tagged.join(lean(kept, 16), row, "left_semi").select(*docs.columns)
 
 
 def fingerprint_hex(fp: Column) -> Column:

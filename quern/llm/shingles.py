@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.spread import BROADCAST_BYTES, Spread
+from quern.llm.spread import BROADCAST_BYTES, Spread, lean
 from quern.llm.vectext import Rolling, Words, as_bytes, groups
 from quern.scratch import materialize
 
@@ -82,17 +82,9 @@ def bands(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def with_bands(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """``docs`` with the column ``out``, an array of the text's band keys (null text: empty)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = bands(as_bytes(batch.column(text)))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, out])
-
-    return docs.mapInArrow(run, schema)
+def as_lists(keys: np.ndarray) -> pa.Array:
+    """A row of band keys for each text, as a column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
 
 
 def _all_pairs(posted: DataFrame) -> DataFrame:
@@ -165,13 +157,13 @@ def similar(nodes: DataFrame, texts: DataFrame, least: float, part: int = 100_00
     """Links (a, b), a < b, between ``nodes`` (node, bands) whose ``texts`` (node, text) have a
     Jaccard similarity of their five-word shingles of ``least`` or more."""
     pairs = candidates(nodes, part, broadcast_bytes)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_sets(texts.join(wanted, "node", "left_semi")), "sets")
-    # A text may stand in pairs with very many others, but only as a.
+    wanted = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    sets = materialize(_sets(texts.join(lean(wanted, 16, broadcast_bytes), "node", "left_semi")), "sets")
+    # A text may stand in pairs with very many others, but only as node.
     size = F.octet_length("words")
-    lean = _leaning(pairs)
-    beside = Spread(lean.groupBy("node").agg(F.count("*").alias("weight")), "node", part, broadcast_bytes)
-    first = beside.join(lean, sets, "other", size).withColumnRenamed("words", "first")
+    leaning = _leaning(pairs)
+    beside = Spread(leaning.groupBy("node").agg(F.count("*").alias("weight")), "node", part, broadcast_bytes)
+    first = beside.join(leaning, sets, "other", size).withColumnRenamed("words", "first")
     both = first.join(sets.select(F.col("node").alias("other"), F.col("words").alias("second")), "other")
     return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "first", "second").mapInArrow(_similar(least), "a long, b long")
 

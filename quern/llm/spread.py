@@ -11,6 +11,12 @@ BROADCAST_BYTES = 16 << 20
 MOST_PARTED = 20_000
 
 
+def lean(rows: DataFrame, row_bytes: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Written ``rows``, marked for broadcast if they, counted, take no more than that; a join on
+    a key that no row shares needs no parts beyond it."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= broadcast_bytes else rows
+
+
 class Spread:
     """``weights`` is (key, weight): what each key's rows weigh; ``part`` the weight from which a
     key is dealt to parts in proportion to it."""

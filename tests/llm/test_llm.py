@@ -199,7 +199,7 @@ def near_corpus():
 def test_similar_by_brute_force(spark, how):
     texts = near_corpus()
     docs = spark.createDataFrame(list(texts.items()), "node long, text string")
-    nodes = shingles.with_bands(docs, "text", "bands").select("node", "bands")
+    nodes = near_dup.with_fingerprint(docs, bands="bands").select("node", "bands")
     found = {(r["a"], r["b"]) for r in shingles.similar(nodes, docs, 0.8, **how).collect()}
     want = alike(texts)
     assert found <= set(want) and components(texts, found) == components(texts, want)
