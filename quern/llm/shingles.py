@@ -5,9 +5,10 @@ and more, and the fewer positional bytes two of them must share, the longer the
 texts meet here by bands of minima of hashes of their shingles, and every pair that meets is
 verified on the whole sets.
 
-A band that few texts share gives all its pairs.  The texts of a crowded band meet again by
-further bands of theirs; where that too is crowded, they are alike, and each is paired with one
-of them, another in every band, so a group of n near copies gives some n pairs, never n squared.
+Every text has two families of bands.  A band that few texts share gives all its pairs.  In one
+that many share each is paired with one of them, another in every band, so a group of n near copies
+gives some n pairs a band, never n squared; texts that are only alike in a passage meet in crowded
+bands of the wide family, but in the narrow one only with what is really like them.
 """
 
 from __future__ import annotations
@@ -18,20 +19,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.llm.spread import BROADCAST_BYTES, Spread, lean
 from quern.llm.vectext import Rolling, Words, as_bytes, groups
 from quern.scratch import materialize
 
 WORDS = 5
-#: Bands and minima a band: of pairs of similarity 0.8 one in 14,000 shares no band.
-BANDS, ROWS = 24, 5
-#: Further bands by which the texts of a crowded band meet, and texts from which one is crowded.
-FURTHER, CROWDED = 6, 16
+#: Minima of a text, and bands of each family with the minima a band is made of.  Of pairs of
+#: similarity 0.8 one in 14,000 shares no wide band, and one in 80 no narrow one.
+MINIMA, WIDE, NARROW = 120, (24, 5), (24, 8)
+BANDS = WIDE[0] + NARROW[0]
+#: Texts from which a band is crowded.
+CROWDED = 16
 _RNG = np.random.default_rng(5)
-_FACTORS = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64)
+_FACTORS = _RNG.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+_MASKS = _RNG.integers(0, 1 << 63, MINIMA, np.uint64)
+#: The minima of each band: the wide ones one after another, the narrow ones drawn anew.
+_MADE_OF = [*np.arange(MINIMA).reshape(WIDE), *(_RNG.choice(MINIMA, NARROW[1], replace=False) for _ in range(NARROW[0]))]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,11 +76,14 @@ def bands(texts: list[bytes]) -> np.ndarray:
         if not len(some):
             continue
         starts = (np.cumsum(counts) - counts)[some]
-        for band in range(BANDS):
+        minima = np.empty((MINIMA, len(some)), np.uint64)
+        for row, factor, mask in zip(minima, _FACTORS, _MASKS, strict=True):
+            mixed = (keys ^ mask) * factor
+            np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), starts, out=row)
+        for band, made_of in enumerate(_MADE_OF):
             key = np.full(len(some), band + 1, np.uint64) * _MIX
-            for factor, mask in zip(_FACTORS[band], _MASKS[band], strict=True):
-                mixed = (keys ^ mask) * factor
-                key = (key ^ np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)) * _MIX
+            for least in minima[made_of]:
+                key = (key ^ least) * _MIX
                 key ^= key >> np.uint64(29)
             out[a + some, band] = key.view(np.int64)
     return out
@@ -94,30 +101,19 @@ def _all_pairs(posted: DataFrame) -> DataFrame:
     return met.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _counted(keyed: DataFrame, name: str, part: int, broadcast_bytes: int) -> tuple[DataFrame, Spread, DataFrame]:
-    """Rows of ``keyed`` whose key others share, with its ``weight``."""
-    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("weight")).where("weight > 1"), name)
-    beside = Spread(counts, "key", part, broadcast_bytes)
-    return materialize(beside.join(keyed, counts, "node", F.lit(8)).where("weight is not null"), name), beside, counts
-
-
 def candidates(nodes: DataFrame, part: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pairs (a, b), a < b, of ``nodes`` (node, bands) that may be similar."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).where("key <> 0")
-    posted, _, _ = _counted(keyed, "bands", part, broadcast_bytes)
+    keyed = nodes.select("node", F.xxhash64("bands").alias("sign"), F.explode("bands").alias("key")).where("key <> 0")
+    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("weight")).where("weight > 1"), "bands")
+    beside = Spread(counts, "key", part, broadcast_bytes)
+    posted = materialize(beside.join(keyed, counts, "node", F.lit(8)).where("weight is not null"), "posted")
     pairs = _all_pairs(posted.where(F.col("weight") <= CROWDED))
 
-    key = lambda j: F.xxhash64("key", F.col("bands")[(F.col("band") + j) % BANDS])
-    again = posted.where(F.col("weight") > CROWDED).select("node", "band", "key").join(nodes, "node")
-    deeper = again.select("node", F.explode(F.array(*[key(j) for j in range(1, FURTHER + 1)])).alias("key"))
-    met, beside, _ = _counted(deeper, "crowded", part, broadcast_bytes)
-    pairs = pairs.unionByName(_all_pairs(met.where(F.col("weight") <= CROWDED)))
-
-    large = met.where(F.col("weight") > CROWDED)
-    hubs = materialize(large.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub")), "hubs")
+    large = posted.where(F.col("weight") > CROWDED)
+    # Chosen by the texts alone, so that the numbers of the nodes do not matter.
+    hubs = materialize(large.groupBy("key").agg(F.min_by("node", F.struct(F.xxhash64("sign", "key"), F.col("node"))).alias("hub")), "hubs")
     star = beside.join(large.select("key", "node"), hubs, "node", F.lit(8)).where("hub <> node")
-    pairs = pairs.unionByName(star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
-    return materialize(pairs.distinct(), "pairs")
+    return materialize(pairs.unionByName(star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))).distinct(), "pairs")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
