@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm import shingles
+from quern.llm import prefixes, shingles
 from quern.llm.names import fresh
 from quern.llm.spread import lean
 from quern.llm.vectext import Lanes, as_bytes, groups, xxh64
@@ -201,7 +201,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     then the first as written, where doc_ids repeat).
 
     Texts are linked by fingerprints of at most two differing bits and, if ``least`` is given, by
-    a Jaccard similarity of their five-word shingles of that or more.
+    a Jaccard similarity of their five-word shingles of that or more.  No link between different
+    texts is left out: bands join most, prefixes find all that is similar between what they joined.
     """
     fp, row, keys = fresh(docs, "simhash"), fresh(docs, "row"), fresh(docs, "bands")
     added = with_fingerprint(docs, text, fp, None if least is None else keys)
@@ -211,7 +212,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     if least is None:
         groups_ = prints.groupBy("simhash").agg(best).join(component_of(prints), "simhash")
     else:
-        # Equal texts have equal fingerprints and bands: they are one node, that of their best row.
+        # Texts of equal fingerprints, bands and hence sets are one node, that of their best row.
         every = tagged.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("simhash"), F.col(row).alias("row"), F.col(keys).alias("bands"))
         nodes = materialize(every.groupBy("simhash", "bands").agg(best).withColumn("node", F.col("best.row")), "nodes")
         texts = tagged.select(F.col(row).alias("node"), F.col(text).alias("text"))
@@ -221,8 +222,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
         by_print = print_links.toDF("fp_a", "fp_b").join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b")
         equal = nodes.join(first, "simhash").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
         linked = by_print.unionByName(equal).unionByName(shingles.similar(nodes.select("node", "bands"), texts, least))
-        roots = components(linked)
-        groups_ = nodes.select("node", "best").join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
+        joined = materialize(nodes.select("node", "best").join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node")), "joined")
+        beyond = components(prefixes.links(joined.select("node", "root"), texts, least)).toDF("root", "beyond")
+        groups_ = joined.join(beyond, "root", "left").select("best", F.coalesce("beyond", "root").alias("root"))
     kept = materialize(groups_.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)), "kept")
     return tagged.join(lean(kept, 16), row, "left_semi").select(*docs.columns)
 

@@ -8,7 +8,8 @@ verified on the whole sets.
 Every text has two families of bands.  A band that few texts share gives all its pairs.  In one
 that many share each is paired with one of them, another in every band, so a group of n near copies
 gives some n pairs a band, never n squared; texts that are only alike in a passage meet in crowded
-bands of the wide family, but in the narrow one only with what is really like them.
+bands of the wide family, but in the narrow one only with what is really like them.  This joins most
+of what is similar; ``prefixes`` finds every similar pair that it leaves in different components.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ WORDS = 5
 #: Minima of a text, and bands of each family with the minima a band is made of.  Of pairs of
 #: similarity 0.8 one in 14,000 shares no wide band, and one in 80 no narrow one.
 MINIMA, WIDE, NARROW = 120, (24, 5), (24, 8)
-BANDS = WIDE[0] + NARROW[0]
+#: The last is a key of the whole set, so only texts of equal sets have all bands in common.
+BANDS = WIDE[0] + NARROW[0] + 1
 #: Texts from which a band is crowded.
 CROWDED = 16
 _RNG = np.random.default_rng(5)
@@ -86,6 +88,8 @@ def bands(texts: list[bytes]) -> np.ndarray:
                 key = (key ^ least) * _MIX
                 key ^= key >> np.uint64(29)
             out[a + some, band] = key.view(np.int64)
+        mixed = keys * _FACTORS[0]
+        out[a + some, -1] = (np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts) * _MIX).view(np.int64)
     return out
 
 
@@ -150,9 +154,13 @@ def _similar(least: float) -> object:
 
 
 def similar(nodes: DataFrame, texts: DataFrame, least: float, part: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Links (a, b), a < b, between ``nodes`` (node, bands) whose ``texts`` (node, text) have a
-    Jaccard similarity of their five-word shingles of ``least`` or more."""
-    pairs = candidates(nodes, part, broadcast_bytes)
+    """Links (a, b), a < b, between ``nodes`` (node, bands) that meet in bands and whose ``texts``
+    (node, text) have a Jaccard similarity of their five-word shingles of ``least`` or more."""
+    return verified(candidates(nodes, part, broadcast_bytes), texts, least, part, broadcast_bytes)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float, part: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts are similar."""
     wanted = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
     sets = materialize(_sets(texts.join(lean(wanted, 16, broadcast_bytes), "node", "left_semi")), "sets")
     # A text may stand in pairs with very many others, but only as node.

@@ -17,7 +17,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm import alignment, chat, cotraining, decontamination, differencing, html_blocks, html_template, licenses, near_dup, packing, patience, registry, repetition, secrets, shingles, vectext, warc
+from quern.llm import alignment, chat, cotraining, decontamination, differencing, html_blocks, html_template, licenses, near_dup, packing, patience, prefixes, registry, repetition, secrets, shingles, vectext, warc
 from quern.llm.tokens import Encoder, added_tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -218,6 +218,51 @@ def test_keep_one_of_similar(spark):
     assert near_dup.keep_one(docs.limit(0), least=0.8).count() == 0
 
 
+def families(n=70, seed=4):
+    """Pairs of a similarity of 0.81 to 0.83 in one crowd: all share a passage, and are up to 0.797 alike beyond their pair."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = fresh(200), []
+    for _ in range(n):
+        own = fresh(4)
+        texts += [[*fresh(rng.randrange(21, 25)), *passage, *own], [*passage, *own, *fresh(rng.randrange(21, 25))]]
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+def test_no_link_of_crowded_bands_is_lost(spark):
+    texts = families()
+    assert len(set(components(texts, alike(texts)).values())) == 70
+    prints = {d: fingerprint(t) for d, t in texts.items()}
+    linked = [(a, b) for a in texts for b in texts if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    roots = components(texts, [*linked, *alike(texts)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_dup.keep_one(docs, least=0.8).collect()) == sorted(set(roots.values()))
+
+
+@pytest.mark.parametrize("how", [{}, {"part": 40, "block": 7, "broadcast_bytes": 0}])
+def test_prefixes_by_brute_force(spark, how, monkeypatch):
+    """All similar pairs, not only their components, whatever shingles count as frequent."""
+    if how:
+        monkeypatch.setattr(prefixes, "LISTED", 50)
+    texts = dict(enumerate([*near_corpus().values(), *families(20).values(), "a b", "A  b", "a b c", "", ""]))
+    docs = spark.createDataFrame(list(texts.items()), "node long, text string")
+    want = {(a, b) for a, b in alike(texts) if texts[a].split() and texts[b].split()}
+    alone = docs.select("node", docs.node.alias("root"))
+    assert {(min(r), max(r)) for r in prefixes.links(alone, docs, 0.8, **how).collect()} == want and len(want) > 5000
+    halves = {k: k % 2 for k in texts}
+    known = spark.createDataFrame(list(halves.items()), "node long, root long")
+    assert prefixes.links(known, docs, 0.8, **how).count() == len({(k % 2, j % 2) for k, j in want if k % 2 != j % 2}) > 0
+    assert prefixes.links(alone.limit(0), docs.limit(0), 0.8, **how).count() == 0
+
+
+def test_texts_of_other_sets_have_other_bands():
+    """Two that are nearly equal and may share all minima: what is similar to one need not be to the other."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join([*words, *words[:4]]), " ".join(words).upper()]
+    found = shingles.bands([t.encode() for t in texts])
+    assert (found[0] == found[3]).all() and len({tuple(f) for f in found.tolist()}) == 3
+
+
 # 3: packing
 
 
