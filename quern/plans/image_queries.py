@@ -39,10 +39,13 @@ def a01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a02_remaining_bytes", f"SELECT doc_id, greatest(0, {_BYTES} - 1000)::BIGINT AS remaining FROM documents")
 def a02(spark: SparkSession, d: str) -> DataFrame:
-    """A2: bytes left after a reader's position, over a file's chunks."""
-    sized = _docs(spark, d).select("doc_id", F.octet_length("text").cast("long").alias("n")).where("n > 0")
-    parts = C.explode_range(sized, F.lit(0).cast("long"), F.expr("(n + 699) div 700"), "k").select("doc_id", (F.col("k") * 700).alias("start"), F.least(F.lit(700), F.col("n") - F.col("k") * 700).alias("size"))
-    return chunks.remaining(parts, "doc_id", F.lit(1000))
+    """A2: bytes left after a reader's position, over a file's chunks; a file without text has one
+    empty chunk."""
+    file = F.struct("doc_id", F.monotonically_increasing_id().alias("row"))
+    sized = _docs(spark, d).select(file.alias("file"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    count = F.greatest(F.lit(1), F.expr("(n + 699) div 700"))
+    parts = C.explode_range(sized, F.lit(0).cast("long"), count, "k").select("file", (F.col("k") * 700).alias("start"), F.least(F.lit(700), F.col("n") - F.col("k") * 700).alias("size"))
+    return chunks.remaining(parts, "file", F.lit(1000)).select("file.doc_id", "remaining")
 
 
 _FIRST = "row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1"

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from oracle import compare, connect
@@ -47,6 +48,20 @@ def test_query(spark, sf_dir, con, name):
     compare(con, df, ORACLES[name])
 
 
+def documents(spark, folder, texts, sources=("a",)):
+    """A documents table of ``texts`` in ``folder``; a connection that sees it."""
+    rows = [(i, t, "en", sources[i % len(sources)]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    found = duckdb.connect()
+    found.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    return found
+
+
+def test_remaining_of_files_without_text(spark, tmp_path):
+    found = documents(spark, tmp_path, ["", None, "x" * 1000, "x" * 1001, "ä" * 2000, ""])
+    compare(found, QUERIES["a02_remaining_bytes"](spark, str(tmp_path)), ORACLES["a02_remaining_bytes"])
+
+
 def bitwise_chunks(data):
     """Content-defined chunks, the fingerprint taken bit by bit from each whole window."""
     ends, start = [], 0
