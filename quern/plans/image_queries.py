@@ -20,6 +20,8 @@ from quern.sources.image import read_catalogue, read_table
 from quern.sources.image_writer import extract, write_image
 
 BLOCK = 64 << 10
+#: The catalogue of a few million documents is larger than an image's usual limit.
+ROOM = {"metadata_size_limit": 1 << 30}
 _BYTES = "octet_length(encode(text))"
 
 
@@ -372,7 +374,7 @@ def x03(spark: SparkSession, d: str) -> DataFrame:
 def _image(spark: SparkSession, d: str) -> tuple[str, dict[str, DataFrame]]:
     path = new_path(spark, "image") + ".img"
     nodes = materialize(virtual.entries(_docs(spark, d), content=True), "entries")
-    return path, write_image(nodes, path, 256 << 10)
+    return path, write_image(nodes, path, 256 << 10, metadata_limit=ROOM["metadata_size_limit"])
 
 
 @query("s01_image_roundtrip", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -380,8 +382,7 @@ def s01(spark: SparkSession, d: str) -> DataFrame:
     """Documents written to an image with content-defined chunks, and every
     file read back through the data source."""
     path, _ = _image(spark, d)
-    c = read_catalogue(spark, path)
-    content = extract(c, read_table(spark, path, "blocks"))
+    content = extract(read_catalogue(spark, path, **ROOM), read_table(spark, path, "blocks", **ROOM))
     slots = scans.positions(_docs(spark, d).select("doc_id"), "doc_id", "file_idx")  # inode order is that of the ids
     return slots.join(content, "file_idx").select("doc_id", F.sha2("content", 256).alias("digest"))
 

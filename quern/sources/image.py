@@ -6,7 +6,8 @@
 Options: table (a name of model.TABLES, or blocks), image_offset, section_index (use_embedded,
 use_embedded_if_exists, build), verify (fast, slow, none), and the size limits of
 model.LIMITS.  A table of the catalogue comes in parts of
-equal rows, one for each PART_BYTES of the stored catalogue.  ``blocks`` has a partition for each block; an equality on section_idx is pushed
+equal rows, one for each PART_BYTES of the stored catalogue.  ``blocks`` has a partition for each
+block, but of many blocks it takes as many as fill PART_BYTES; an equality on section_idx is pushed
 down to read that block alone with the option pushdown=true, which needs
 spark.sql.python.filterPushdown.enabled (read_table sets the option where the session has it).
 """
@@ -22,11 +23,13 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from quern.codec import section
-from quern.codec.image import Image, table
+from quern.codec.image import Image, sections, table
 from quern.model import LIMITS, TABLES
 
-#: Stored bytes of the catalogue for each part in which its tables are read.
+#: Stored bytes of the catalogue, or bytes of whole blocks, for each part in which they are read.
 PART_BYTES = 8 << 20
+#: Blocks share a part only if there are at least so many parts.
+LEAST_PARTS = 64
 BLOCKS = T.StructType([T.StructField("section_idx", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
@@ -57,8 +60,8 @@ class ImageSource(DataSource):
 
 
 class BlockPartition(InputPartition):
-    def __init__(self, number: int, block_size: int):
-        self.number, self.block_size = number, block_size
+    def __init__(self, numbers: list[int], block_size: int):
+        self.numbers, self.block_size = numbers, block_size
 
 
 class RowsPartition(InputPartition):
@@ -78,13 +81,18 @@ class ImageReader(DataSourceReader):
             count = -(-image.catalogue_bytes() // PART_BYTES)
             return [RowsPartition(i, count) for i in range(count)]
         size = int(image.metadata["block_size"])
-        return [BlockPartition(i, size) for i, (kind, _) in enumerate(image.index) if kind == section.BLOCK and (self.wanted is None or i in self.wanted)]
+        numbers = [i for i, (kind, _) in enumerate(image.index) if kind == section.BLOCK and (self.wanted is None or i in self.wanted)]
+        step = max(1, min(PART_BYTES // size, len(numbers) // LEAST_PARTS))
+        return [BlockPartition(numbers[i : i + step], size) for i in range(0, len(numbers), step)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         image = open_image(self.options)
         if isinstance(partition, BlockPartition):
-            data = image.block(partition.number, partition.block_size)
-            yield pa.RecordBatch.from_arrays([pa.array([partition.number], pa.int64()), pa.array([data], pa.binary())], ["section_idx", "data"])
+            for number in partition.numbers:
+                data = image.section(number, partition.block_size)[1]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary())], ["section_idx", "data"])
+        elif isinstance(partition, RowsPartition) and self.options.get("table") == "sections":
+            yield from sections(image, *(k * len(image.index) // partition.count for k in (partition.number, partition.number + 1))).to_batches()
         elif isinstance(partition, RowsPartition):
             rows = table(image, self.options.get("table", "inodes"))
             start, end = (k * len(rows) // partition.count for k in (partition.number, partition.number + 1))

@@ -1,13 +1,15 @@
-"""Writing an image: blocks are filled, compressed and sealed by tasks; the driver streams the
-sealed sections to one file in their order and appends metadata and index."""
+"""Writing an image: blocks are filled, compressed and sealed by tasks, which write them to their
+places in the one file; the driver appends metadata and index."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from typing import Any, BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,40 +72,48 @@ def coalesced(parts: DataFrame) -> DataFrame:
 
 
 def sealed_blocks(slices: DataFrame, algo: int, level: int | None) -> DataFrame:
-    """(section_number, sealed): one task row holds one block, at most a block's size."""
+    """(section_number, bytes, sealed): one task row holds one block, at most a block's size."""
     blocks = slices.groupBy("section_idx").agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                payload = b"".join(p["data"] for p in parts.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([section.seal(number, section.BLOCK, payload, algo, level)], pa.binary())], ["section_number", "sealed"])
+                sealed = section.seal(number, section.BLOCK, b"".join(p["data"] for p in parts.as_py()), algo, level)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(sealed)], pa.int64()), pa.array([sealed], pa.binary())], ["section_number", "bytes", "sealed"])
 
-    return blocks.mapInArrow(run, "section_number long, sealed binary")
+    return blocks.mapInArrow(run, "section_number long, bytes long, sealed binary")
 
 
 def metadata_value(c: dict[str, DataFrame], block_size: int, created: int | None = None) -> dict[str, Any]:
-    """The catalogue as one value; it must fit the metadata limit, so the driver may hold it."""
+    """The catalogue as one value; it must fit the metadata limit, so the driver may hold it.
 
-    def column(name: str, key: str, *columns: str) -> dict[str, list]:
-        rows = c[name].orderBy(key).select(*columns).toArrow()
-        return {k: rows.column(k).to_pylist() for k in columns}
+    Numbers are 32 bits in the format and on their way: less 2^31, as Spark's are signed."""
+
+    def column(name: str, key: str, *columns: str) -> dict[str, np.ndarray]:
+        rows = c[name].orderBy(key).select(*[(F.col(k) - (1 << 31)).cast("int").alias(k) for k in columns]).toArrow()
+        return {k: (rows.column(k).to_numpy().astype(np.int64) + (1 << 31)).astype(np.uint32) for k in columns}
+
+    def packed(name: str) -> dict[str, Any] | None:
+        values = c[name].orderBy("pos").select(F.col("value").cast("binary").alias("value")).toArrow().column("value")
+        if not len(values):
+            return None
+        buffer = b"".join(v for part in values.chunks for v in part.to_pylist())
+        return {"buffer": buffer, "symtab": None, "index": pc.binary_length(values).to_numpy().astype(np.uint64), "packed_index": True}
 
-    packed = lambda values: {"buffer": b"".join(values), "symtab": None, "index": np.array([len(v) for v in values], np.uint64), "packed_index": True} if values else None
     options = c["options"].first()
     meta = frozen.empty()
     stored = column("chunks", "chunk_idx", "section_idx", "offset", "size")
     meta["chunks"] = {"block": stored["section_idx"], "offset": stored["offset"], "size": stored["size"]}
     meta["directories"] = column("directories", "inode_num", "parent_entry", "first_entry", "self_entry")
     inodes = column("inodes", "inode_num", "mode_index", "owner_index", "group_index", "atime_offset", "mtime_offset", "ctime_offset")
-    zeros = np.zeros(len(inodes["mode_index"]), np.uint64)
+    zeros = np.zeros(len(inodes["mode_index"]), np.uint32)
     meta["inodes"] = {"name_index": zeros, "inode": zeros, **inodes}
     meta["chunk_table"] = column("chunk_table", "file_idx", "first_chunk")["first_chunk"]
     meta["symlink_table"] = column("symlink_table", "pos", "target_index")["target_index"]
     for name in ("uids", "gids", "modes"):
         meta[name] = column(name, "pos", "value")["value"]
     meta["block_size"] = block_size
-    devices = [int(d) for d in column("devices", "pos", "device_id")["device_id"]]
+    devices = [int(r["device_id"]) for r in c["devices"].orderBy("pos").select("device_id").collect()]
     meta["devices"] = devices or None
     resolution = options["time_resolution_sec"]
     meta["options"] = {
@@ -113,7 +123,7 @@ def metadata_value(c: dict[str, DataFrame], block_size: int, created: int | None
     meta["dir_entries"] = column("dir_entries", "entry_idx", "name_index", "inode_num")
     meta["writer_version"], meta["create_timestamp"] = CREATOR, created
     for table, field in (("names", "compact_names"), ("symlinks", "compact_symlinks")):
-        meta[field] = packed([v.encode() for v in column(table, "pos", "value")["value"]])
+        meta[field] = packed(table)
     return meta
 
 
@@ -123,11 +133,15 @@ class SectionFile:
     def __init__(self, out: BinaryIO):
         self.out, self.entries, self.at = out, [], 0
 
-    def append(self, kind: int, sealed: bytes) -> None:
+    def skip(self, kind: int, size: int) -> None:
+        """A section whose bytes are put in their place otherwise."""
         section.pack_entry(kind, self.at)
         self.entries.append((kind, self.at))
+        self.at += size
+
+    def append(self, kind: int, sealed: bytes) -> None:
+        self.skip(kind, len(sealed))
         self.out.write(sealed)
-        self.at += len(sealed)
 
     def add(self, kind: int, payload: bytes, algo: int = section.NONE, level: int | None = None) -> None:
         self.append(kind, section.seal(len(self.entries), kind, payload, algo, level))
@@ -136,6 +150,33 @@ class SectionFile:
         self.out.write(section.seal_index(self.entries, self.at))
 
 
+def place_blocks(blocks: DataFrame, name: str, starts: np.ndarray, end: int, mark: bytes) -> int:
+    """Blocks (section_number, sealed) written by tasks to where they begin in the file ``name``;
+    how many were.
+
+    A task that does not find ``mark`` at ``end`` sees no such file, or another, and writes
+    nothing; a task that runs twice writes the same bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = None
+        try:
+            if os.path.exists(name):
+                file = os.open(name, os.O_RDWR)
+            ours = file is not None and os.pread(file, len(mark) + 1, end) == mark
+            for batch in batches:
+                for number, sealed in zip(batch.column(0).to_pylist() if ours else (), batch.column(1), strict=False):
+                    data, at = memoryview(sealed.as_buffer()), int(starts[number])
+                    while len(data):
+                        done = os.pwrite(file, data, at)
+                        data, at = data[done:], at + done
+                yield pa.RecordBatch.from_arrays([pa.array([len(batch) if ours else 0], pa.int64())], ["n"])
+        finally:
+            if file is not None:
+                os.close(file)
+
+    return blocks.select("section_number", "sealed").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_image(
     entries: DataFrame,
     path: str,
@@ -147,18 +188,37 @@ def write_image(
     **config: object,
 ) -> dict[str, DataFrame]:
     """Write an image of ``entries`` to ``path``, on any file system that pyarrow knows; returns
-    its catalogue."""
+    its catalogue.
+
+    Where the tasks see the file, they write its blocks; of them the driver gets the sizes alone.
+    On another file system, or in a folder of the driver's own, the driver streams the blocks."""
     parts, slices = plan(entries, block_size, chunker)
     catalogue = build.catalogue(entries, parts, block_size, **config)
     blocks = materialize(sealed_blocks(slices, algo, level), "blocks")
     schema, data = metadata_sections(metadata_value(catalogue, block_size))
     if len(data) > metadata_limit:
         raise ImageError("size_limit", f"metadata is larger than {metadata_limit} bytes")
+    sizes = blocks.select("section_number", "bytes").toArrow().sort_by("section_number").column("bytes").to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    end = int(sizes.sum())
     fs, name = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
-    with fs.open_output_stream(name) as out:
+    placed = 0
+    if local := isinstance(fs, pyarrow.fs.LocalFileSystem):
+        name, mark = os.path.abspath(name), os.urandom(16)
+        with open(name, "wb") as out:
+            out.seek(end)
+            out.write(mark)
+        placed = place_blocks(blocks, name, starts, end, mark)
+    with open(name, "r+b") if local else fs.open_output_stream(name) as out:
         image = SectionFile(out)
-        for row in blocks.repartitionByRange("section_number").sortWithinPartitions("section_number").toLocalIterator():
-            image.append(section.BLOCK, bytes(row["sealed"]))
+        if placed == len(sizes):
+            for size in sizes.tolist():
+                image.skip(section.BLOCK, size)
+            if local:
+                out.seek(end)
+        else:
+            for row in blocks.repartitionByRange("section_number").sortWithinPartitions("section_number").toLocalIterator():
+                image.append(section.BLOCK, bytes(row["sealed"]))
         image.add(section.SCHEMA, schema, algo, level)
         image.add(section.METADATA, data, algo, level)
         image.finish()

@@ -5,9 +5,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from quern.codec import section
 from quern.functions import columns as C
 from quern.model import ENTRIES, ImageError
 from quern.operators import build, chunks, scans, tree, validate
+from quern.sources import image_writer
 from quern.sources.image import read_catalogue, read_table
 from quern.sources.image_writer import extract, write_image
 
@@ -159,3 +161,32 @@ def test_deep_and_lone_paths(spark):
     last = listed.where("node = 39").first()
     assert last["path"] == "/".join(f"d{i}" for i in range(1, 40)) and last["depth"] == 39
     assert listed.where("node = 0").first()["path"] == ""
+
+
+@pytest.mark.parametrize("seen", [True, False])
+def test_blocks_written_by_tasks_or_streamed(spark, tmp_path, monkeypatch, seen):
+    """The driver gets blocks only where no task sees the file; the image is the same."""
+    streamed, path = [], str(tmp_path / "out.img")
+    kept = image_writer.SectionFile.append
+    monkeypatch.setattr(image_writer.SectionFile, "append", lambda self, kind, sealed: (streamed.append(kind), kept(self, kind, sealed)))
+    if not seen:
+        real = image_writer.place_blocks
+        monkeypatch.setattr(image_writer, "place_blocks", lambda blocks, name, *rest: real(blocks, name + ".elsewhere", *rest))
+    (tmp_path / "out.img").write_bytes(b"left of another image" * 10_000)
+    rows = [entry(0, None, "", "dir"), *(entry(i, 0, f"f{i}", "file", content=bytes([i]) * (3000 * i)) for i in range(1, 9))]
+    write_image(frame(spark, rows), path, block_size=1 << 12, chunker="basic", algo=section.NONE)
+    assert streamed.count(section.BLOCK) == (0 if seen else 27)
+    c, blocks = read_catalogue(spark, path, verify="slow"), read_table(spark, path, "blocks", verify="slow")
+    assert blocks.count() == 27 and blocks.rdd.getNumPartitions() == 27
+    assert sorted(bytes(r["content"]) for r in extract(c, blocks).collect()) == [bytes([i]) * (3000 * i) for i in range(1, 9)]
+
+
+def test_many_blocks_share_parts(spark, tmp_path):
+    path = str(tmp_path / "many.img")
+    data = b"".join(i.to_bytes(4, "big") * 1024 for i in range(200)) + b"end"
+    write_image(frame(spark, [entry(0, None, "", "dir"), entry(1, 0, "a", "file", content=data)]), path, block_size=1 << 12, chunker="basic", algo=section.NONE)
+    blocks = read_table(spark, path, "blocks")
+    assert blocks.rdd.getNumPartitions() == 67
+    assert b"".join(bytes(r["data"]) for r in blocks.orderBy("section_idx").collect()) == data
+    sections = read_table(spark, path, "sections").orderBy("section_idx").collect()
+    assert [r["section_type"] for r in sections] == [0] * 201 + [7, 8, 9] and [r["section_idx"] for r in sections] == list(range(204))
