@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.codec import cdc, section, thrift
@@ -160,6 +161,14 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(count + 1).withColumnRenamed("id", "section_idx").mapInArrow(run, "section_idx long, outcome string, bytes long")
 
 
+#: Blocks whose chunks a reader with room for all of them gets.
+_GROUP = 256
+
+
+def _row(source: str, *numbers: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"source": [source], **dict(zip(("part", "first", "last", "chunks", "digest", "reads"), ([n] for n in numbers), strict=True))})
+
+
 @query(
     "x09_block_cache",
     f"""{_STORED}, a AS (SELECT source, block, lag(block) OVER (PARTITION BY source ORDER BY doc_id, block) AS last FROM documents JOIN x USING (text))
@@ -167,30 +176,50 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
 )
 def x09_cache(spark: SparkSession, d: str) -> DataFrame:
     """Each source's files read in order through the kept blocks: with room for one block, a
-    read for every change of block; with room for all, one for each block."""
+    read for every change of block; with room for all, one for each block.
+
+    The order is cut into ranges, each read by itself; a range that begins with the block its
+    source had last would not have read it again.  With room for all, a block's reads don't
+    depend on other blocks: a reader gets the chunks of _GROUP blocks, and room for these."""
     path = _plain(spark, d)
     slots = scans.positions(_docs(spark, d).select("doc_id", "source"), "doc_id", "file_idx")
-    wanted = tree.file_chunks(read_table(spark, path, "chunk_table"), read_table(spark, path, "chunks")).join(slots, "file_idx")
-    rows = wanted.select("source", "doc_id", "section_idx", "offset", "size").repartition("source").sortWithinPartitions("source", "doc_id", "section_idx")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        last, readers, n = None, [], 0
-        end = lambda: done.append((last, n, *(r.block_reads for r in readers))) if last is not None else None
-        for batch in batches:
-            for source, _, number, offset, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if source != last:
-                    end()
-                    last, n, readers = source, 0, [open_image({"path": path, "block_cache_size_limit": limit}) for limit in (BLOCK, 1 << 30)]
-                n += 1
-                if len({r.chunk(number, offset, size) for r in readers}) != 1:
-                    raise ImageError("chunk", "readers differ")
-        end()
-        columns = list(zip(*done, strict=True)) or [()] * 4
-        kinds = [pa.string(), *[pa.int64()] * 3]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["source", "chunks", "reads_of_one", "reads_of_all"])
-
-    return rows.mapInArrow(run, "source string, chunks long, reads_of_one long, reads_of_all long")
+    wanted = tree.file_chunks(read_table(spark, path, "chunk_table", **ROOM), read_table(spark, path, "chunks", **ROOM)).join(slots, "file_idx")
+    rows = materialize(wanted.select("source", "doc_id", "section_idx", "offset", "size"), "wanted")
+    order = ["source", "doc_id", "section_idx"]
+    out = "source string, part long, first long, last long, chunks long, digest long, reads long"
+
+    def read(room: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """A row for each run of one source and part: its first and last block, chunks and reads."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            opened, reader, now, done = None, None, None, None
+            for batch in batches:
+                for source, part, number, offset, size in zip(*(batch.column(c).to_pylist() for c in ("source", "part", "section_idx", "offset", "size")), strict=True):
+                    opened = opened or open_image({"path": path})
+                    if (source, part) != now:
+                        if now is not None:
+                            yield _row(*done, reader.block_reads)
+                        now, done, reader = (source, part), [source, part, number, number, 0, 0], opened.fresh(block_cache_size_limit=room)
+                    done[3], done[4] = number, done[4] + 1
+                    done[5] ^= xxhash.xxh3_64_intdigest(reader.chunk(number, offset, size, BLOCK), number * BLOCK + offset) >> 1
+            if now is not None:
+                yield _row(*done, reader.block_reads)
+
+        return run
+
+    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id().cast("long")).sortWithinPartitions(*order)
+    one = materialize(ranged.mapInArrow(read(BLOCK), out), "reads")
+    again = F.lag("last").over(Window.partitionBy("source").orderBy("part")) == F.col("first")
+    one = one.withColumn("reads", F.col("reads") - F.coalesce(again.cast("long"), F.lit(0)))
+    dealt = rows.withColumn("part", F.expr(f"section_idx div {_GROUP}")).repartition("source", "part").sortWithinPartitions("source", "part", "doc_id", "section_idx")
+    every = dealt.mapInArrow(read(_GROUP * BLOCK), out)
+
+    def sums(df: DataFrame, chunks: str, reads: str, digest: str) -> DataFrame:
+        return df.groupBy("source").agg(F.sum("chunks").alias(chunks), F.sum("reads").alias(reads), F.bit_xor("digest").alias(digest))
+
+    both = sums(one, "chunks", "reads_of_one", "digest").join(sums(every, "n", "reads_of_all", "other"), "source")
+    same = (F.col("n") == F.col("chunks")) & (F.col("digest") == F.col("other"))
+    return both.select("source", F.when(same, F.col("chunks")).otherwise(F.raise_error(F.lit("readers differ")).cast("long")).alias("chunks"), "reads_of_one", "reads_of_all")
 
 
 @query("p10_chunk_accessors", f"{_STORED} SELECT doc_id, block AS section_idx, chunk_offset, size FROM documents JOIN x USING (text)")

@@ -62,6 +62,16 @@ def test_remaining_of_files_without_text(spark, tmp_path):
     compare(found, QUERIES["a02_remaining_bytes"](spark, str(tmp_path)), ORACLES["a02_remaining_bytes"])
 
 
+def test_block_cache_of_more_blocks_than_a_reader_keeps(spark, tmp_path, monkeypatch):
+    """Blocks that files come back to, over several readers' groups, within small kept room."""
+    monkeypatch.setattr(open_queries, "_GROUP", 2)
+    rng = np.random.default_rng(5)
+    kept = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 90_000, 20)]
+    texts = [kept[i] for i in rng.integers(0, 20, 150)] + ["", ""]
+    found = documents(spark, tmp_path, texts, ("a", "b", "c"))
+    compare(found, QUERIES["x09_block_cache"](spark, str(tmp_path)), ORACLES["x09_block_cache"])
+
+
 def bitwise_chunks(data):
     """Content-defined chunks, the fingerprint taken bit by bit from each whole window."""
     ends, start = [], 0
