@@ -339,16 +339,24 @@ def _written_tree(spark: SparkSession, d: str) -> str:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # Texts are written from their batch, none of them a Python value.
+            for doc_id, lang, source, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3).cast(pa.binary()), strict=True):
                 os.makedirs(f"{root}/{lang}/{source}", exist_ok=True)
                 name = f"{root}/{lang}/{source}/{doc_id}.txt"
                 with open(name, "wb") as f:
-                    f.write(text.encode())
+                    f.write(text.as_buffer())
                 os.chmod(name, 0o4640 | doc_id % 8)
                 os.utime(name, (doc_id * 60 + 7, doc_id * 60))
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["doc_id"])
 
-    _docs(spark, d).select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long").count()
+    # Arrow's batches count rows, 10,000 of any size, each of which every task would hold.
+    held = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(held)
+    spark.conf.set(held, "256")
+    try:
+        _docs(spark, d).select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long").count()
+    finally:
+        spark.conf.set(held, rows)
     return root
 
 

@@ -28,24 +28,41 @@ def kind_of(mode: int) -> str:
     return next(name for test, name in _KINDS if test(mode))
 
 
+#: Rows that a task turns into Python values at a time.
+_ROWS = 256
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, len(batch), _ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, _ROWS).columns), strict=True)
+
+
 _LISTED = "path binary, parent binary, name string, kind string, shared string"
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the directories of ``path`` hold; ``shared`` names an inode that has several names.
-    Names that aren't UTF-8 are repaired."""
+    Names that aren't UTF-8 are repaired.  Of a large directory _ROWS entries are held at a time."""
     kinds = [pa.binary(), pa.binary(), *[pa.string()] * 3]
-    for batch in batches:
-        for folder in batch.column(0).to_pylist():
-            rows = []
-            for entry in os.scandir(folder):
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "parent", "name", "kind", "shared"])
+
+    for (folder,) in _rows(batches):
+        rows = []
+        with os.scandir(folder) as listed:
+            for entry in listed:
                 status = entry.stat(follow_symlinks=False)
                 kind = kind_of(status.st_mode)
                 # The status that os.scandir gives has no link count on every system.
                 links = os.lstat(entry.path).st_nlink if kind != "dir" else 1
                 rows.append((entry.path, folder, entry.name.decode("utf-8", "replace"), kind, f"{status.st_dev}:{status.st_ino}" if links > 1 else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "parent", "name", "kind", "shared"])
+                if len(rows) == _ROWS:
+                    yield batch_of(rows)
+                    rows = []
+        yield batch_of(rows)
 
 
 def names(spark: SparkSession, root: str) -> DataFrame:
@@ -74,18 +91,17 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                status = os.lstat(r["path"])
-                kind = "hardlink" if r["link_to"] is not None else kind_of(status.st_mode)
-                content = None
-                if kind == "file":
-                    with open(r["path"], "rb") as f:
-                        content = f.read()
-                row = {k: r[k] for k in ("seq", "parent_seq", "name", "link_to")} | metadata(status) | {"kind": kind, "content": content}
-                row["target"] = os.fsdecode(os.readlink(r["path"])) if kind == "symlink" else None
-                row["device_id"] = status.st_rdev if kind in ("blkdev", "chardev") else None
-                yield pa.RecordBatch.from_pylist([row], schema)
+        for seq, parent_seq, name, path, link_to in _rows(batches):
+            status = os.lstat(path)
+            kind = "hardlink" if link_to is not None else kind_of(status.st_mode)
+            content = None
+            if kind == "file":
+                with open(path, "rb") as f:
+                    content = f.read()
+            row = {"seq": seq, "parent_seq": parent_seq, "name": name, "link_to": link_to} | metadata(status) | {"kind": kind, "content": content}
+            row["target"] = os.fsdecode(os.readlink(path)) if kind == "symlink" else None
+            row["device_id"] = status.st_rdev if kind in ("blkdev", "chardev") else None
+            yield pa.RecordBatch.from_pylist([row], schema)
 
     kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "decimal(20,0)": pa.decimal128(20, 0)}
     schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in ENTRIES.fields])

@@ -2,8 +2,10 @@
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quern.sources import files
 from quern.sources.files import scan_tree
 from quern.sources.image import read_catalogue, read_table
 from quern.sources.image_writer import extract, write_image
@@ -30,6 +32,17 @@ def test_tree_to_image(spark, tmp_path):
     assert read_table(spark, path, "blocks").agg(F.sum(F.length("data"))).first()[0] < 14000
 
 
+def test_large_directory_in_parts(spark, tmp_path):
+    """Of a directory's entries a task holds some at a time; all are listed and read."""
+    for i in range(600):
+        (tmp_path / f"{i}").write_bytes(b"%d" % i)
+    folders = pa.RecordBatch.from_arrays([pa.array([os.fsencode(tmp_path)], pa.binary())], ["path"])
+    sizes = [len(b) for b in files._list(iter([folders]))]
+    assert sum(sizes) == 600 and max(sizes) <= 256
+    rows = scan_tree(spark, str(tmp_path)).where("kind = 'file'").collect()
+    assert sorted((r["name"], bytes(r["content"])) for r in rows) == sorted((f"{i}", b"%d" % i) for i in range(600))
+
+
 def test_stream_keeps_first(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     kind = "id long, text string, at timestamp"
